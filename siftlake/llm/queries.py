@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, mixing, secrets
+from . import exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -24,14 +28,25 @@ def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_source_mix": op4_source_mix,
     "op5_merkle_fingerprints": op5_merkle_fingerprints,
     "op6_linked_secrets": op6_linked_secrets,
+    "op7_bagminhash_near_duplicates": op7_bagminhash_near_duplicates,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
 }
 
