@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets
+from . import exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_bagminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("intact")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op5_merkle_fingerprints": op5_merkle_fingerprints,
     "op6_linked_secrets": op6_linked_secrets,
     "op7_bagminhash_near_duplicates": op7_bagminhash_near_duplicates,
+    "op8_warc_segments": op8_warc_segments,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chunk_recipe_dedup": op10_chunk_recipe_dedup,
 }
@@ -138,4 +143,18 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mix": _OP4, "op5_merkle_fingerprints": _OP5, "op10_chunk_recipe_dedup": _OP10}
+_OP8 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, ((i // 8) * 10 + 1)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31) + 1, 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY payload_digest)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc_segments": _OP8,
+    "op4_source_mix": _OP4,
+    "op5_merkle_fingerprints": _OP5,
+    "op10_chunk_recipe_dedup": _OP10,
+}
