@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprint, mixing, near_dedup, packing, quality, secrets, warc
+from . import chat, exact_dedup, fingerprint, mixing, near_dedup, packing, pseudo_likelihood, quality, secrets, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_turns(turns.unionByName(chat.planted(spark, turns)))).drop("n_tokens", "loss_tokens")
@@ -50,6 +54,7 @@ def op10_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_masked_pseudo_likelihood": op1_masked_pseudo_likelihood,
     "op2_chat_format": op2_chat_format,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_source_mix": op4_source_mix,
