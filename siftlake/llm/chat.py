@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded_batches
+
 START, STOP = "<|im_start|>", "<|im_end|>"
 TOKENIZER = "byte_bpe_50k.json"
 #: Ids behind the tokenizer's own vocabulary of 50,257.
@@ -106,6 +108,7 @@ def read_back(path: str, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, s
 def format_turns(turns: DataFrame, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per turn: (conv_col, turn_col, role, formatted, ids, mask, n_tokens); ids are little-endian 32-bit, mask one byte
     a token. Narrow."""
+    bounded_batches(turns.sparkSession)
     path = path or tokenizer_path()
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -39,3 +39,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def text_of(col: str | Column) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+#: Bytes of an Arrow batch that goes to or from a Python worker, at most (one longer text makes a batch of its own).
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small in this session, so a worker's memory doesn't follow the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    if now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        return
+    spark.conf.set(key, str(BATCH_BYTES))

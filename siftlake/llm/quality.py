@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 2500
 #: Hashed words, bins of each statistic, rank of the interactions.
@@ -30,7 +32,7 @@ THRESHOLD = 0.3
 #: Structure statistics, each in 0..1, in the order of `structure`.
 STATISTICS = ("capitals", "symbols", "exclamations", "digits", "ends", "distinct", "repeats", "word_length", "line_length", "bars", "top_word", "beyond_ascii")
 #: Words kept with their hashes by a worker; beyond this the table is dropped and begun anew.
-CACHE = 300_000
+CACHE = 200_000
 
 # classes of bytes: 0 small letter, 1 capital, 2 digit, 3 white space, 4 end of line, 5 end of clause, 6 exclamation, 7 other symbol, 8 bar, 9 beyond ASCII
 _BYTE = np.full(256, 7, np.uint8)
@@ -128,6 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r["_y"] for r in rows])
     if len(set(y.tolist())) == 2:
         model.fit([featurize(r["_t"], [r[f"_m{i}"] for i in range(len(metadata))]) for r in rows], y)
+    else:
+        model.v[:] = 0
     return model
 
 
@@ -144,7 +148,9 @@ def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
             texts = (s.as_py() for s in b.column(at))
             scores = [m.score(*featurize(t, x)) for t, x in zip(texts, zip(*columns) if columns else iter(lambda: (), None))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, score_col])
+        _hashes.clear()  # a worker lives on after its task
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

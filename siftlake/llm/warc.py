@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import bounded_batches, materialize, shared_path
 
 #: Bytes of a record's block; longer ones are segmented. Bytes of a chunk of a body. Records in a file, at most.
 SEGMENT, CHUNK, RECORDS_PER_FILE = 16_384, 4096, 2000
@@ -98,6 +98,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", segment: int = SEGMENT, least: int = LEAST_REVISIT) -> str:
     """Writes gzip WARC files under path. Payloads move once, by their digest; groups of equal payloads are joined as a
     table of their own, so the engine may split a large group."""
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url") if url_col else F.lit(None).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "n": F.octet_length("payload")})
@@ -195,6 +196,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, intact): one row per response or revisit record.
     A revisit's size and its response's page come from the record it refers to. Only segments of long records move with their bytes."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     parts = files.mapInArrow(_parsed, _PARSED)
     columns = [c.split()[0] for c in _PARSED.split(", ")]
