@@ -5,8 +5,8 @@ into bins. Nearly full bins are final. Underfull bins are merged in a tree: each
 of a bounded number of bins and packs each group best-fit again, until one group is left or a round no longer helps. Only
 (bin, fill) pairs travel between rounds; pieces learn their sequence by one join at the end.
 
-Token ids come from the tokenizer file word by word: the tokenizer drops white space and never joins across it, so
-the ids of a text are those of its words in order, and a worker keeps the words it has met (CACHE at most).
+Token ids come from the tokenizer file, word by word: the tokenizer encodes each word on its own, so the ids of a
+text are those of its words in order, and a worker keeps the words it has met (CACHE at most).
 
 Defined cases: null text is empty and packs its end-of-text id alone; repeated rows are packed once each; null ids are carried
 along; an empty table gives an empty result; columns other than id and text are not read.
@@ -18,13 +18,14 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 CAPACITY = 4096
 #: The id that ends each document.
@@ -34,51 +35,57 @@ SLACK = 32
 #: Underfull bins that one group of a round packs, at most (in expectation).
 GROUP = 20_000
 #: Words kept with their ids by a worker; beyond this the table is dropped and begun anew.
-CACHE = 400_000
+CACHE = 300_000
 TOKENIZER = "word_bpe_49k.json"
 
-_PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+#: Letters whose normal form and lower case are one Latin letter each.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: How the tokenizer parts a text in lower case, for texts of ASCII and Latin letters.
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
+#: What sends a text to the tokenizer whole: other characters, separators that are white space to Python only, control strings.
+_OTHER = re.compile(rf"[^\x00-\x7f{_LATIN}]|[\x1c-\x1f]|<\|")
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder(dict):
-    """Little-endian 32-bit ids of a white-space-free string; `text` gives those of a whole text.
-
-    A word followed by ASCII punctuation is looked up as its two parts, which the tokenizer splits anyway."""
+    """Little-endian 32-bit ids by word. Words that a batch of texts needs and that are not known yet are encoded in one go; the
+    last token of each is marked in the vocabulary as the end of a word. Texts beyond ASCII and Latin letters are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def encode(self, s: str) -> bytes:
-        ids = self.tokenizer.encode(s, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def part(self, s: str) -> bytes:
-        if s.isascii():
-            s = s.lower()
-        got = self.parts.get(s)
-        if got is None:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            got = self.parts[s] = self.encode(s)
-        return got
-
-    def __missing__(self, s: str) -> bytes:
-        plain = _PLAIN.fullmatch(s)
-        got = self.part(plain[1]) + (self.part(plain[2]) if plain[2] else b"") if plain else self.encode(s)
-        if len(s) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[s] = got
-        return got
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Makes sure of the ids of all these words. A full table is dropped before, never between, look-ups."""
+        if len(self) >= CACHE:
+            self.clear()
+        new = list(words.difference(self))
+        for at in range(0, len(new), 5000):
+            some = new[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, data = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            if len(cuts) == len(some):
+                self.update(zip(some, (data[i:j] for i, j in zip([0, *cuts], cuts))))
+            else:
+                self.update((w, self.encode(w)) for w in some)
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [None if _OTHER.search(t) else _WORD.findall(t.encode().lower().decode()) for t in texts]
+        self.learn(set().union(*(w for w in split if w)))
+        for t, words in zip(texts, split):
+            yield self.encode(t) if words is None else b"".join(map(self.__getitem__, words))
 
     def text(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the tokenizer
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return next(self.texts([text]))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -124,8 +131,8 @@ def _local(path: str, capacity: int, end: int, with_ids: bool):
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.text(text.as_py() or "") + tail
+            for key, ids in zip(batch.column(0).to_pylist(), words.texts([t or "" for t in batch.column(1).to_pylist()])):
+                ids += tail
                 view = memoryview(ids)
                 for k in range(0, len(ids), 4 * capacity):
                     piece = view[k : k + 4 * capacity]
@@ -155,6 +162,7 @@ def _merge(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, slack: int = SLACK, group: int = GROUP, with_ids: bool = False) -> DataFrame:
     """One row per piece: (id_col, piece, start, length, ids_crc32, [ids,] sequence_id, offset)."""
+    bounded_batches(docs.sparkSession)
     keys = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     schema = docs.select(id_col).schema.simpleString()[7:-1] + ", piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", bin bigint, at bigint, bin_fill int"
     pieces = materialize(keys.mapInArrow(_local(path or tokenizer_path(), capacity, end, with_ids), schema), "pack-pieces")
