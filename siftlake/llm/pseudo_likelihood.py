@@ -15,8 +15,6 @@ padding alone; repeated rows score alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Ids: OWN for frequent words, the rest hashed; one more stands for what lies beyond the text.
 IDS, OWN, BASE = 4096, 2048, 16
 WINDOW, WIDTH = 2, 16
 ROUNDS, MASK = 2, 4
 BATCH, RATE = 16_384, 0.1
-CACHE = 300_000
-#: Distinct words that a task counts before it hands its counts on.
-COUNTED = 400_000
+#: Words that a task counts before it hands its counts on; bytes of text that are hashed at a time.
+COUNTED, SEGMENT = 2_000_000, 1 << 20
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 _SHAPES = {
     "embed": (len(_OFFSETS), IDS + 1, WIDTH), "bias": (WIDTH,), "first": (BASE, WIDTH), "second": (BASE * BASE, WIDTH),
@@ -41,49 +40,117 @@ _SIZES = {k: int(np.prod(s)) for k, s in _SHAPES.items()}
 WEIGHTS = sum(_SIZES.values())
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
-
-
-class Vocabulary(dict):
-    """Two bytes of id by word."""
-
-    def __init__(self, frequent: list[str]):
-        super().__init__()
-        self.own = {w: i.to_bytes(2, "little") for i, w in enumerate(frequent)}
-        self.update(self.own)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-            self.update(self.own)
-        got = self[word] = (OWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (IDS - OWN)).to_bytes(2, "little")
-        return got
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words_of(text))), "<u2").astype(np.int32)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n + 1, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+_BASE = 0x100000001B3  # odd, so it has an inverse modulo 2**64
+_UP, _DOWN = _powers(_BASE, SEGMENT), _powers(pow(_BASE, -1, 1 << 64), SEGMENT)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, where it begins) by prefix sums of a polynomial."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_WHITE[b], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = (_UP, _DOWN) if len(b) <= SEGMENT else (_powers(_BASE, len(b)), _powers(pow(_BASE, -1, 1 << 64), len(b)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)])])
+    return _mix((sums[end] - sums[start]) * down[start]), start
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the lower-case words of all texts in order, number of words of each text). Texts go through in
+    segments of about SEGMENT bytes, cut at white space."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    held: list[bytes] = []
+    first = size = 0
+
+    def flush(upto: int) -> None:
+        nonlocal held, first, size
+        if held:
+            h, start = _hashed(b"\n".join(held))
+            begins = np.cumsum([0, *[len(x) + 1 for x in held[:-1]]])
+            counts[first:upto] += np.bincount(np.searchsorted(begins, start, "right") - 1, minlength=len(held))[: upto - first]
+            hashes.append(h)
+        held, first, size = [], upto, 0
+
+    for i, t in enumerate(texts):
+        data = (t or "").lower().encode("utf-8", "surrogatepass")
+        if size + len(data) > SEGMENT:
+            flush(i)
+        while len(data) > SEGMENT:
+            cut = max(data.rfind(b" ", 0, SEGMENT), data.rfind(b"\n", 0, SEGMENT))
+            if cut <= 0:
+                break
+            h, _ = _hashed(data[:cut])
+            hashes.append(h)
+            counts[i] += len(h)
+            data = data[cut:]
+        held.append(data)
+        size += len(data)
+    flush(len(texts))
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
+
+
+class Vocabulary:
+    """Token ids by word hash: the frequent ones have ids of their own."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.order = np.argsort(frequent)
+        self.sorted = frequent[self.order]
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of tokens of each)."""
+        h, counts = word_hashes(texts)
+        ids = (OWN + (h >> np.uint64(32)) % np.uint64(IDS - OWN)).astype(np.int32)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            own = self.sorted[at] == h
+            ids[own] = self.order[at[own]]
+        return ids, counts
+
+
+def _slices(batch: pa.RecordBatch, column: int, size: int = 500) -> Iterator[tuple[int, list[str | None]]]:
+    for at in range(0, len(batch), size):
+        yield at, batch.column(column).slice(at, size).to_pylist()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all rows; tasks add up what they have read before it is shuffled."""
+    """(word, n) over all rows, words by their hash; tasks add up what they have read before it is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+        held: list[np.ndarray] = []
+
+        def hand_on() -> pa.RecordBatch:
+            w, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["word", "n"])
+
         for b in batches:
-            for t in b.column(0):
-                c.update(words_of(t.as_py()))
-                if len(c) > COUNTED:
-                    yield hand_on()
-                    c.clear()
-        yield hand_on()
+            held.extend(word_hashes(texts)[0] for _, texts in _slices(b, 0))
+            if sum(map(len, held)) > COUNTED:
+                yield hand_on()
+        if held:
+            yield hand_on()
 
-    return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", own: int = OWN) -> list[str]:
-    """The words with ids of their own: a bounded list, by count, then word."""
-    return [r["word"] for r in word_counts(docs, text_col).orderBy(F.col("n").desc(), "word").limit(own).collect()]
+def frequent_words(docs: DataFrame, text_col: str = "text", own: int = OWN) -> np.ndarray:
+    """The words with ids of their own: a bounded list of hashes, by count, then hash."""
+    got = word_counts(docs, text_col).orderBy(F.col("n").desc(), "word").limit(own).collect()
+    return np.array([r["word"] for r in got], np.int64).view(np.uint64)
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -98,18 +165,20 @@ def initial(seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 0.1, WEIGHTS).astype(np.float32)
 
 
-def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(len(at), 2 * WINDOW) ids around the positions."""
-    padded = np.concatenate([np.full(WINDOW, IDS, np.int32), ids, np.full(WINDOW, IDS, np.int32)])
-    return np.stack([padded[at + WINDOW + o] for o in _OFFSETS], 1)
+def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(len(ids), 2 * WINDOW) ids around each position, padding beyond the ends of its text."""
+    at = np.arange(len(ids)) + WINDOW * (1 + np.repeat(np.arange(len(counts)), counts))
+    padded = np.full(len(ids) + WINDOW * (len(counts) + 1), IDS, np.int32)
+    padded[at] = ids
+    return np.stack([padded[at + o] for o in _OFFSETS], 1)
 
 
 def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log p of the targets, p)."""
-    z = z - z.max(1, keepdims=True)
+    """(log p of the targets, p). Logits are held below what the exponential can take."""
+    z = np.minimum(z, 60)
     e = np.exp(z)
-    s = e.sum(1, keepdims=True)
-    return z[np.arange(len(z)), target] - np.log(s[:, 0]), e / s
+    s = e @ np.ones(z.shape[1], z.dtype)
+    return z[np.arange(len(z)), target] - np.log(s), e / s[:, None]
 
 
 def forward(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray):
@@ -154,10 +223,12 @@ class Trainer:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.tokens = 0
 
-    def add(self, ids: np.ndarray, round_: int) -> None:
-        at = np.flatnonzero((ids.astype(np.int64) * 31 + np.arange(len(ids)) * 7 + round_) % MASK == 0)
+    def add(self, ids: np.ndarray, counts: np.ndarray, round_: int) -> None:
+        """Takes in texts; masked are the positions whose token and place in the text hash to the round."""
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.flatnonzero((ids.astype(np.int64) * 31 + place * 7 + round_) % MASK == 0)
         if len(at):
-            self.held.append((contexts(ids, at), ids[at]))
+            self.held.append((contexts(ids, counts)[at], ids[at]))
             self.waiting += len(at)
             if self.waiting >= BATCH:
                 self.step()
@@ -176,7 +247,7 @@ class Trainer:
         self.held, self.waiting = [], 0
 
 
-def train(docs: DataFrame, frequent: list[str], text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights. What reaches the driver is one set of weights a round."""
     sc, flat = docs.sparkSession.sparkContext, initial()
     words = sc.broadcast(frequent)  # at most OWN words
@@ -186,8 +257,8 @@ def train(docs: DataFrame, frequent: list[str], text_col: str = "text", rounds:
         def run(batches: Iterator[pa.RecordBatch], round_=round_, start=start) -> Iterator[pa.RecordBatch]:
             vocabulary, t = Vocabulary(words.value), Trainer(start.value)
             for b in batches:
-                for text in b.column(0):
-                    t.add(vocabulary.ids(text.as_py()), round_)
+                for _, texts in _slices(b, 0):
+                    t.add(*vocabulary.ids(texts), round_)
             t.step()
             if t.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([t.tokens], pa.int64()), pa.array([t.flat], pa.list_(pa.float32()))], names=["tokens", "weights"])
@@ -203,35 +274,16 @@ def train(docs: DataFrame, frequent: list[str], text_col: str = "text", rounds:
     return flat
 
 
-def document_score(w: dict[str, np.ndarray], ids: np.ndarray) -> float:
-    """Summed conditional log-probabilities of all tokens."""
-    total = 0.0
-    for i in range(0, len(ids), BATCH):
-        at = np.arange(i, min(i + BATCH, len(ids)))
-        total += float(forward(w, contexts(ids, at), ids[at])[0].sum(dtype=np.float64))
-    return total
-
-
-def scores_of(w: dict[str, np.ndarray], many: list[np.ndarray]) -> list[float]:
-    """document_score of each, by batches that join short documents."""
-    out, i = [0.0] * len(many), 0
-    while i < len(many):
-        j, n = i, 0
-        while j < len(many) and (j == i or n + len(many[j]) <= BATCH):
-            n += len(many[j])
-            j += 1
-        if j == i + 1:
-            out[i] = document_score(w, many[i])
-        elif n:
-            full = [k for k in range(i, j) if len(many[k])]
-            logp = forward(w, np.concatenate([contexts(many[k], np.arange(len(many[k]))) for k in full]), np.concatenate([many[k] for k in full]))[0].astype(np.float64)
-            for k, s in zip(full, np.add.reduceat(logp, np.cumsum([0, *[len(many[k]) for k in full[:-1]]]))):
-                out[k] = float(s)
-        i = j
-    return out
+def text_scores(w: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Summed conditional log-probabilities of all tokens of each text."""
+    context = contexts(ids, counts)
+    logp = [forward(w, context[i : i + BATCH], ids[i : i + BATCH])[0] for i in range(0, len(ids), BATCH)]
+    sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logp or [np.empty(0)]), dtype=np.float64)])
+    ends = np.cumsum(counts)
+    return sums[ends] - sums[ends - counts]
 
 
-def score(docs: DataFrame, flat: np.ndarray, frequent: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, flat: np.ndarray, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, pll, mean_pll) of every row; one narrow pass."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((flat, frequent))
@@ -240,17 +292,17 @@ def score(docs: DataFrame, flat: np.ndarray, frequent: list[str], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, vocabulary = unpacked(shared.value[0]), Vocabulary(shared.value[1])
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
-                many = [vocabulary.ids(t.as_py()) for t in b.column(1)]
-                sums = scores_of(w, many)
-                means = [s / len(m) if len(m) else None for s, m in zip(sums, many)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(m) for m in many], pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=[id_col, "n_tokens", "pll", "mean_pll"])
+            for at, texts in _slices(whole, 1):
+                ids, n = vocabulary.ids(texts)
+                sums = text_scores(w, ids, n)
+                means = pa.array(np.divide(sums, n, where=n > 0, out=np.zeros(len(n))), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(texts)), pa.array(n), pa.array(sums), means], names=[id_col, "n_tokens", "pll", "mean_pll"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, pll double, mean_pll double")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Counts, trains and scores on docs."""
+    bounded_batches(docs.sparkSession)
     frequent = frequent_words(docs, text_col)
     return score(docs, train(docs, frequent, text_col, rounds), frequent, id_col, text_col)
