@@ -85,7 +85,7 @@ def highlight(text: Column, value: Column, shown: Column, start: Column, end: Co
     word characters. Spans that touch are replaced once."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     alone = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])"))
-    safe = F.regexp_replace(shown, r"([\\$])", r"\\\\$1")
+    safe = F.regexp_replace(shown, r"([\\$])", r"\\$1")
     here = F.concat(F.substring(text, F.lit(1), start), shown, F.substring(text, end + 1, F.char_length(text)))
     known = (start >= 0) & (F.lower(F.substring(text, start + 1, end - start)) == F.lower(value))
     everywhere = F.regexp_replace(text, F.when(F.left(value, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.right(value, F.lit(1)).rlike(r"[\p{L}\p{N}]"), alone).otherwise(F.concat(F.lit("(?iu)"), quoted)), safe)
