@@ -43,8 +43,8 @@ class Rule:
 class Catalog:
     rules: tuple[Rule, ...]
     stopwords: dict[str, frozenset[str]] = field(default_factory=dict)
-    #: A pattern in a line, or else strings in its lower case, one of which any regexp or field rule needs; None if that isn't known.
-    hints: tuple[str, tuple[str, ...]] | None = None
+    #: Patterns in a line and strings in its lower case, one of which any regexp or field rule needs; None if that isn't known.
+    hints: tuple[tuple[str, ...], tuple[str, ...]] | None = None
     warnings: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
@@ -93,7 +93,7 @@ def shipped(minlen: int = 4) -> Catalog:
     found = [Rule(n, "regexp", k, d, rx, s) for n, k, d, rx, s in rules.REGEXP_RULES]
     found += [Rule(n, "field", k, d, rx, offset=o) for n, k, d, rx, o in rules.FIELD_RULES]
     found += [Rule(n, "string", k, values=lexicon_values(v, minlen)) for n, k, v in rules.LEXICONS]
-    return Catalog(tuple(found), {k: frozenset(map(norm_text, v)) for k, v in rules.STOPWORDS.items()}, (rules.LINE_HINT, tuple(rules.LOWER_HINTS)))
+    return Catalog(tuple(found), {k: frozenset(map(norm_text, v)) for k, v in rules.STOPWORDS.items()}, (tuple(rules.LINE_HINTS), tuple(rules.LOWER_HINTS)))
 
 
 def java_checker(spark: SparkSession) -> Callable[[str], str | None]:

@@ -154,14 +154,14 @@ def worth_a_look(line: Column, catalog: Catalog) -> Column:
 
     def tests(x: Column) -> Column:  # the forms of the line are bound once here, however many tests use them
         found = [F.contains(x["lower"], F.lit(h)) for h in catalog.hints[1]] if catalog.hints else []
-        if words:
-            found += [F.arrays_overlap(F.regexp_extract_all(x["norm"], F.lit(r"(?U)[^\s?&=,;|]+"), F.lit(0)), F.array(*map(F.lit, words)))]
         found += [F.contains(x["norm"], F.lit(v)) for v in sorted({v for _, _, _, v in catalog.phrases()})]
+        if words:
+            found += [F.exists(F.regexp_extract_all(x["norm"], F.lit(r"(?U)[^\s?&=,;|]+"), F.lit(0)), lambda t: t.isin(words))]
         return reduce(lambda a, b: a | b, found, F.lit(False))
 
     forms = F.array(F.struct(F.lower(line).alias("lower"), X.norm(line).alias("norm")))
-    exact = line.rlike(catalog.hints[0]) | line.rlike(r"[{%?&]") if catalog.hints else line.rlike(r"[{%?&]")
-    return exact | F.exists(forms, tests)
+    plain = [*(catalog.hints[0] if catalog.hints else ()), r"[{%?&]"]
+    return reduce(lambda a, b: a | b, [*map(line.rlike, plain), F.exists(forms, tests)])
 
 
 @dataclass(frozen=True)
