@@ -145,23 +145,18 @@ def _per_rule(catalog: Catalog, get) -> Column:
     return F.element_at(F.array(*[F.lit(get(r)) for r in catalog.rules]), F.col("ord") + 1)
 
 
-def worth_a_look(line: Column, catalog: Catalog) -> Column:
-    """False for lines in which no rule of the catalog can match. Loses nothing: what rules need is known (catalog.hints), and
-    lexicon words are tokens of the line's normal form unless the line holds escapes, URLs or JSON."""
+def worth_a_look(line: Column, forms: Column, catalog: Catalog) -> Column:
+    """False for lines in which no rule of the catalog can match, given the line's forms (struct<lower, norm>). Loses nothing: what
+    rules need is known (catalog.hints), and lexicon words are tokens of the normal form unless the line holds escapes, URLs or JSON."""
     words = sorted({v for _, _, _, v in catalog.words()})
     if catalog.hints is None and (catalog.of("regexp") or catalog.of("field")) or len(words) > UNROLLED_WORDS:
         return F.lit(True)
-
-    def tests(x: Column) -> Column:  # the forms of the line are bound once here, however many tests use them
-        found = [F.contains(x["lower"], F.lit(h)) for h in catalog.hints[1]] if catalog.hints else []
-        found += [F.contains(x["norm"], F.lit(v)) for v in sorted({v for _, _, _, v in catalog.phrases()})]
-        if words:
-            found += [F.exists(F.regexp_extract_all(x["norm"], F.lit(r"(?U)[^\s?&=,;|]+"), F.lit(0)), lambda t: t.isin(words))]
-        return reduce(lambda a, b: a | b, found, F.lit(False))
-
-    forms = F.array(F.struct(F.lower(line).alias("lower"), X.norm(line).alias("norm")))
-    plain = [*(catalog.hints[0] if catalog.hints else ()), r"[{%?&]"]
-    return reduce(lambda a, b: a | b, [*map(line.rlike, plain), F.exists(forms, tests)])
+    tests = [line.rlike(p) for p in (*(catalog.hints[0] if catalog.hints else ()), r"[{%?&]")]
+    tests += [F.contains(forms["lower"], F.lit(h)) for h in (catalog.hints[1] if catalog.hints else ())]
+    tests += [F.contains(forms["norm"], F.lit(v)) for v in sorted({v for _, _, _, v in catalog.phrases()})]
+    if words:
+        tests.append(F.exists(F.regexp_extract_all(forms["norm"], F.lit(r"(?U)[^\s?&=,;|]+"), F.lit(0)), lambda t: t.isin(words)))
+    return reduce(lambda a, b: a | b, tests)
 
 
 @dataclass(frozen=True)
@@ -200,7 +195,7 @@ def _compiled(catalog: Catalog, config: ScanConfig) -> _Compiled:
     return _Compiled(
         catalog,
         (line != "") & passes_prefilter(line, config.prefilter, catalog),
-        worth_a_look(line, catalog),
+        worth_a_look(line, F.col("_forms"), catalog),
         tokens(line, config.parse_json),
         F.transform("_words", lambda t, i: F.struct(i.alias("i"), t.alias("t"), X.norm(t).alias("n"))),
         long if catalog.of("regexp", "token") else F.filter("_tokens", lambda t: F.lit(False)),
@@ -216,7 +211,10 @@ def candidates(lines: DataFrame, catalog: Catalog, config: ScanConfig = ScanConf
     Intermediate columns, each computed once: _low (normal form of the line), _words (tokens), _tokens (struct<i, t, n>: place, token,
     normal form), _long (those a token rule matches) and _keys (those a field rule matches, with their inline pair p)."""
     c, columns = _compile(catalog, config), lines.columns
-    rows = lines.where(c.wanted).where(c.look).withColumn("_low", X.norm(F.col("line"))).withColumn("_words", c.words).withColumn("_tokens", c.indexed)
+    # an explode of one row: many tests use these forms, and the filter is not pushed below it to compute them again for each
+    forms = F.struct(F.lower("line").alias("lower"), X.norm(F.col("line")).alias("norm"))
+    rows = lines.where(c.wanted).withColumn("_forms", F.explode(F.array(forms))).where(c.look)
+    rows = rows.withColumn("_low", F.col("_forms.norm")).withColumn("_words", c.words).withColumn("_tokens", c.indexed)
     rows = rows.withColumns({"_long": c.long, "_keys": c.keys})
     out = rows.select(*columns, F.explode(c.hits).alias("_h")).select(*columns, "_h.*")
     if len(c.catalog.words()) > UNROLLED_WORDS:
