@@ -48,11 +48,14 @@ def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return pieces.groupBy(F.xxhash64("chunk").alias("h"), "chunk").agg(F.count(F.lit(1)).alias("uses"))
 
 
+def ambiguous_hashes(store: DataFrame) -> DataFrame:
+    return store.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h")
+
+
 def ambiguous_chunks(store: DataFrame) -> DataFrame:
     """Chunks whose hash stands for more than one text, with an ordinal: (h, chunk, ordinal). Almost always empty."""
-    twice = store.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h")
     order = Window.partitionBy("h").orderBy("chunk")
-    return store.join(twice, "h").select("h", "chunk", F.row_number().over(order).alias("ordinal"))
+    return store.join(ambiguous_hashes(store), "h").select("h", "chunk", F.row_number().over(order).alias("ordinal"))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
@@ -63,9 +66,10 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ver
     none = F.lit(None).cast(T.ArrayType(T.StringType()))
     if not verify:
         return lists.withColumn("ordinals", none)
-    clash = materialize(ambiguous_chunks(chunk_store(docs, text_col)), "chunk-clash")
-    if clash.isEmpty():
+    store = chunk_store(docs, text_col)
+    if ambiguous_hashes(store).isEmpty():
         return lists.withColumn("ordinals", none)
+    clash = materialize(ambiguous_chunks(store), "chunk-clash")
     located = (
         docs.select(normalised(text_col).alias("t"))
         .select(F.sha2("t", 256).alias("text_sha256"), F.posexplode(chunks(F.col("t"))).alias("at", "chunk"))
