@@ -11,14 +11,14 @@ about its number of distinct shingles plus registers * log(registers).
 Signatures are cut into BANDS of ROWS registers; documents of similarity s share a band with probability
 1 - (1 - s**ROWS)**BANDS, above 0.999998 at 0.8. Candidates are verified by their true multiset overlap, from whole texts:
 
-1. documents with equal multisets are one node; nodes that share a band key form a bucket;
-2. each bucket compares its members with one pivot, the member that collides most often overall; links are joined to classes;
-3. in buckets that still hold several classes, members of different classes are compared with each other, but for
-   pairs whose signatures agree in less than FLOOR of the registers (a true pair does with probability 2e-6);
-   buckets are cut into blocks of BLOCK members for that, and only plausible pairs leave a block.
+1. documents with equal multisets are one node; nodes that share a band key form a bucket, and buckets that
+   share nodes a component, found by labels that go from nodes to buckets and back, at a cost of one row per membership;
+2. components hold all pairs that share a band. Texts of nodes in a component are fetched once, past a fixed-size
+   Bloom filter of their ids, and a component is cut into blocks of BLOCK nodes (or BLOCK_WEIGHT shingles);
+3. a task compares the nodes of two blocks: pairs that are not yet in one class and whose signatures agree in FLOOR of the
+   registers (a true pair agrees in less with probability 2e-6) are verified, and only links that join two classes leave the task.
 
-Pairs within a class need no comparison, so a group of copies costs links in proportion to its size. Classes
-are the connected components of the links, by label propagation on tables in the shared folder.
+Classes are the connected components of the links, by label propagation on tables in the shared folder.
 
 Defined cases: a text of fewer than SHINGLE words (but some) is one shingle of all its words; texts without words (null
 and empty ones among them) are alike only if equal, null as empty. Repeated rows and repeated ids are rows like others.
@@ -37,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_of
+from .common import bounded_batches, materialize, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
-FLOOR, BLOCK = 0.6, 512
-#: Members of a pivot that one task verifies in a row.
-STAR = 1000
-CACHE = 400_000
+FLOOR, BLOCK, BLOCK_WEIGHT = 0.6, 2048, 2_000_000
+#: Bits of the filter that keeps texts which no pair needs from being shuffled; fixed, whatever the input.
+FILTER_BITS = 1 << 24
+CACHE = 200_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -166,6 +166,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, weight = [], 0
         if held:
             yield _sketched(held, batch.schema.field(0).type)
+    _words.clear()  # a worker lives on after its task
 
 
 def _sketched(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -175,8 +176,8 @@ def _sketched(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         s = signatures([held[i][2] for i in full])
         for i, keys, low in zip(full, band_keys(s), (mix(s.view(_U)) & _U(255)).astype(np.uint8)):
             bands[i], bits[i] = keys, low.tobytes()
-    arrays = [pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "node", "bands", "bits"])
+    arrays = [pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array([len(x[2][0]) for x in held], pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "node", "bands", "bits", "weight"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -203,114 +204,154 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _verify(similarity: float):
+class _Classes:
+    """Union-find over the rows of a task."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)  # a label per row, kept flat: reads are many, unions few
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.of[a], self.of[b]
+        self.of[self.of == max(x, y)] = min(x, y)
+
+
+def links_between(bags: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of left and right (the same rows, or disjoint ones) that join two classes; with those it leaves
+    out, they have the same components as all links."""
+    out, classes = [], _Classes(len(bags))
+    same = left is right
+    sizes = np.array([b[1].sum() for b in bags])
+    at = np.concatenate([[0], np.cumsum([len(b[0]) for b in bags])])
+    ids, flat = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+    counts = np.concatenate([b[1] for b in bags])
+    mine = np.zeros(len(ids), np.int64)
+    for n, x in enumerate(left):
+        others = right[n + 1 :] if same else right
+        agree = (bits[others] == bits[x]).mean(1)
+        others = others[((agree - 1 / 256) / (1 - 1 / 256) >= FLOOR) & (classes.of[others] != classes.of[x])]
+        if not len(others):
+            continue
+        own = slice(at[x], at[x + 1])
+        mine[flat[own]] = counts[own]
+        if len(others) > 64 and same:
+            both = np.add.reduceat(np.minimum(mine[flat], counts), at[:-1])[others]
+        else:
+            both = np.array([np.minimum(mine[flat[at[y] : at[y + 1]]], counts[at[y] : at[y + 1]]).sum() for y in others])
+        mine[flat[own]] = 0
+        for y in others[both >= similarity * (sizes[others] + sizes[x] - both)]:
+            if classes.of[x] != classes.of[y]:
+                classes.join(x, y)
+                out.append((int(x), int(y)))
+    return out
+
+
+def _linked(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (pivot, salt, node, text) by pivot and salt, the pivot's own first; the links among them. One bag of a pivot is held."""
-        now, mine, out = None, None, ([], [], [])
-        for b in batches:
-            for pivot, salt, node, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
-                text = text.as_py()
-                if (pivot, salt) != now:
-                    now, mine = (pivot, salt), None
-                theirs = bag(text)
-                if node_of(text, *theirs) != node:
-                    continue  # another text under a repeated id
-                if node == pivot:
-                    mine = theirs
-                elif mine is not None and len(theirs[0]):
-                    s = overlap(mine, theirs)
-                    if s >= similarity:
-                        for c, v in zip(out, (pivot, node, s)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
-            out = ([], [], [])
+        """Rows (component, i, j, own block, node, bits, text) of two blocks; the links that join classes."""
+        for t in _runs(batches, 3):
+            found = {}
+            for block, node, bits, text in zip(*(t.column(k).to_pylist() for k in (3, 4, 5)), t.column(6)):
+                if (block, node) not in found:
+                    b = bag(text.as_py())
+                    if node_of(text.as_py(), *b) == node:  # else another text under a repeated id
+                        found[block, node] = (b, bits)
+            if len(found) < 2:
+                continue
+            nodes, blocks = [n for _, n in found], np.array([b for b, _ in found])
+            bits = np.frombuffer(b"".join(x[1] for x in found.values()), np.uint8).reshape(len(found), REGISTERS)
+            i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
+            left = np.flatnonzero(blocks == i)
+            pairs = links_between([x[0] for x in found.values()], bits, left, left if i == j else np.flatnonzero(blocks == j), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in pairs], pa.int64()), pa.array([nodes[y] for _, y in pairs], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, own block, node, class, bits) of two blocks of a bucket; its plausible pairs of different classes."""
-    for t in _runs(batches, 3):
-        block, node, label = (t.column(i).to_numpy() for i in (3, 4, 5))
-        i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
-        bits = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(len(t), REGISTERS)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            agree = (bits[right] == bits[x]).mean(1)
-            ok = right[((agree - 1 / 256) / (1 - 1 / 256) >= FLOOR) & (label[right] != label[x]) & ((node[right] > node[x]) if i == j else True)]
-            a.append(np.minimum(node[x], node[ok]))
-            b.append(np.maximum(node[x], node[ok]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough, with their similarity. Texts are fetched once per node in a pair and
-    meet at the pivot a, whose text is repeated for each STAR partners."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("salts"))
-    dealt = dealt.join(sizes, "a").withColumn("salt", F.col("salt") % F.col("salts"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
-    need = materialize(need, "near-need").withColumnRenamed("id", "n_id")
-    texts = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text")).join(need, F.col("d_id").eqNullSafe(F.col("n_id"))).select("node", "text")
-    texts = materialize(texts, "near-texts").withColumnRenamed("node", "t_node")
-    members = dealt.select(F.col("a").alias("pivot"), "salt", F.col("b").alias("node"))
-    pivots = sizes.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"))
-    rows = members.unionByName(pivots).join(texts, F.col("node") == F.col("t_node")).select("pivot", "salt", "node", "text")
-    rows = rows.withColumn("own", F.col("node") == F.col("pivot"))
-    rows = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("own").desc(), "node").drop("own")
-    return materialize(rows.mapInArrow(_verify(similarity), "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"]), "near-links")
+def _places(id_col: str) -> list:
+    h, g = F.xxhash64(id_col), F.xxhash64(id_col, F.lit(1))
+    return [F.pmod(x, F.lit(FILTER_BITS)).cast("int") for x in (h, F.shiftright(h, 32), g)]
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label) of every node in a link: its component's least node. Least labels spread along links, then labels
-    jump to their own labels; rounds grow with the logarithm of a component's diameter in practice."""
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y")))
-    both = materialize(both.distinct(), "near-edges")
-    labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("label")), "near-labels")
+def texts_of(need: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """need, which has a column id, with the texts of its ids as column text. Documents whose id is surely not needed are left where they are; a full filter lets
+    all pass, which costs a shuffle and nothing else."""
+    words = need.select(F.explode(F.array(*_places("id"))).alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, p % 64)")).alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))  # FILTER_BITS
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_ = shared.value
+        for b in batches:
+            ok = np.ones(len(b), bool)
+            for k in (2, 3, 4):
+                p = b.column(k).to_numpy()
+                ok &= (bytes_[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["d_id", "text"]).filter(pa.array(ok))
+
+    rows = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text"), *[p.alias(f"p{k}") for k, p in enumerate(_places(id_col))])
+    kind = rows.schema["d_id"].dataType.simpleString()
+    passed = rows.mapInArrow(passing, f"d_id {kind}, text string")
+    n = need.withColumnRenamed("id", "n_id")
+    return passed.join(n, F.col("d_id").eqNullSafe(F.col("n_id"))).drop("d_id", "n_id")
+
+
+def _spread(labels: DataFrame, near, steps: int = 2) -> DataFrame:
+    """(node, label) of every node from first labels: near(labels) gives (node, near), the least label around each node; labels also
+    jump to their own labels. A table is written every few steps, and the end is reached when a table's last step changed nothing;
+    rounds grow with the logarithm of a component's diameter in practice."""
     while True:
-        of = labels.select(F.col("node").alias("y"), F.col("label").alias("l"))
-        near = both.join(of, "y").groupBy(F.col("x").alias("node")).agg(F.min("l").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        step = step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "label")
+        for _ in range(steps):
+            step = labels.join(near(labels), "node").select("node", "label", F.least("label", "near").alias("new"))
+            jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
+            step = step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "label")
+            labels = step.select("node", F.col("new").alias("label"))
         step = materialize(step, "near-labels")
         labels = step.select("node", F.col("new").alias("label"))
         if step.where("new <> label").isEmpty():
             return labels
 
 
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label) of every node in a link: its component's least node."""
+    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y")))
+    both = materialize(both.distinct(), "near-edges")
+    first = both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("label"))
+    return _spread(first, lambda of: both.join(of.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near")))
+
+
+def bucket_components(crowded: DataFrame) -> DataFrame:
+    """(node, label) of every node in a bucket, from rows (bucket, node, least): nodes are in one component if buckets tie them.
+    Labels go from nodes to buckets and back, so a round's rows are the memberships, and none of the pairs in a bucket."""
+    pairs = crowded.select("bucket", "node")
+
+    def near(labels: DataFrame) -> DataFrame:
+        of = pairs.join(labels, "node").groupBy("bucket").agg(F.min("label").alias("l"))
+        return pairs.join(of, "bucket").groupBy("node").agg(F.min("l").alias("near"))
+
+    return _spread(crowded.groupBy("node").agg(F.min("least").alias("label")), near)
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(rows, named): (id, node) of every row of docs, and (node, label, class_id, class_size, class_node) of every node;
     class_node is the node of the class's least id."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    sketched = materialize(keyed.mapInArrow(_sketch, f"id {kind}, node bigint, bands array<bigint>, bits binary"), "near-sketch")
-    nodes = materialize(sketched.groupBy("node", "bands", "bits").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-nodes")
+    sketched = materialize(keyed.mapInArrow(_sketch, f"id {kind}, node bigint, bands array<bigint>, bits binary, weight bigint"), "near-sketch")
+    nodes = materialize(sketched.groupBy("node", "bands", "bits", "weight").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    counts = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-buckets")
-    crowded = materialize(banded.join(counts, "bucket"), "near-crowded")
-    ranks = materialize(crowded.groupBy("node").agg(F.sum("members").alias("rank")), "near-ranks")
-    pivots = materialize(crowded.join(ranks, "node").groupBy("bucket").agg(F.max_by("node", "rank").alias("pivot")), "near-pivots")
-    stars = crowded.join(pivots, "bucket").where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(stars, "near-stars")
-    links = verified(stars, nodes, docs, id_col, text_col, similarity)
-    first = components(links)
-    # what a pivot did not settle: members of different classes in one bucket
-    labelled = materialize(crowded.join(first, "node", "left").select("bucket", "node", "members", F.coalesce("label", "node").alias("label")), "near-labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
-    mixed = materialize(mixed, "near-mixed")
-    rows = labelled.join(mixed, "bucket").join(nodes.select("node", "bits"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "bits")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rows.mapInArrow(_plausible, "a bigint, b bigint").distinct().join(known, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, nodes, docs, id_col, text_col, similarity))
-        first = components(links)
-    label = materialize(nodes.join(first, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label")), "near-node-labels")
+    least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    crowded = materialize(banded.join(least, "bucket"), "near-crowded")
+    group = bucket_components(crowded).withColumnsRenamed({"label": "component", "node": "c_node"})
+    members = materialize(nodes.join(group, F.col("node") == F.col("c_node")).select("component", "node", "id", "bits", "weight"), "near-members")
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("weight") / BLOCK_WEIGHT)).alias("blocks"))
+    rows = texts_of(members.join(sizes, "component").drop("weight"), docs, id_col, text_col)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "bits", "text")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    first = components(materialize(rows.mapInArrow(_linked(similarity), "a bigint, b bigint"), "near-links"))
+    label = nodes.join(first, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
     named = label.groupBy("label").agg(
         F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.coalesce(F.min_by("node", "id"), F.min("node")).alias("class_node")
     )
