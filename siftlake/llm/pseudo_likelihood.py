@@ -1,13 +1,15 @@
 """Operator 1: masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Words are counted over the whole corpus. The most frequent get token ids of their own, all others share hashed ids. A token is
-predicted from the WINDOW tokens on either side: h = tanh(b + sum of one embedding per position), and its id, written in
-three digits of base 16, digit by digit, each by a softmax given h and the digits before, so a step costs 48 outputs and
-not the vocabulary. A document's score is the sum of log p(token | both sides) over all its tokens.
+Words are counted over the whole corpus. All that occur LEAST times (and the OWN most frequent in any case) get token ids of their
+own, so the vocabulary grows with the corpus; all others share hashed ids. A token is predicted from the WINDOW tokens on either
+side: h = tanh(b + sum of one embedding per position), and its id, written in three or more digits of base 16, digit by digit, each
+by a softmax given h and the digits before, so a step costs 16 outputs a digit and not the vocabulary. The probability of a word
+with a shared id is that of the id times the word's share of the id's occurrences, by a join with the full counts; words with an id
+of their own are left out of it, so no key of it has more than LEAST rows. A document's score is the sum of log p(word | both sides) over all its words.
 
 Training is distributed: each partition goes once through all its documents, masking every MASK-th position by a
 hash, from common starting weights; weights are then averaged by tokens (only they are shuffled), for ROUNDS rounds with other masks.
-Everything covers all data; what is gathered (word counts of every partition, weights of every partition) grows with it.
+Everything covers all data; what is gathered (word counts and weights of every partition, rare words of every row) grows with it.
 
 Defined cases: null or empty texts have no tokens, a score of 0.0 and a mean of null; a text of one word is predicted from
 padding alone; repeated rows score alike; an empty table gives an empty result. Columns other than id and text are not read.
@@ -22,22 +24,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
-#: Ids: OWN for frequent words, the rest hashed; one more stands for what lies beyond the text.
+#: Ids of the least vocabulary: OWN for frequent words, the rest hashed; one more stands for what lies beyond the text.
 IDS, OWN, BASE = 4096, 2048, 16
+SHARED = IDS - OWN
+#: Words of so many occurrences have ids of their own, however many words these are.
+LEAST = 1000
 WINDOW, WIDTH = 2, 16
 ROUNDS, MASK = 2, 4
 BATCH, RATE = 16_384, 0.1
 #: Words that a task counts before it hands its counts on; bytes of text that are hashed at a time.
 COUNTED, SEGMENT = 2_000_000, 1 << 20
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
-_SHAPES = {
-    "embed": (len(_OFFSETS), IDS + 1, WIDTH), "bias": (WIDTH,), "first": (BASE, WIDTH), "second": (BASE * BASE, WIDTH),
-    "w0": (WIDTH, BASE), "w1": (WIDTH, BASE), "w2": (WIDTH, BASE), "b0": (BASE,), "b1": (BASE,), "b2": (BASE,),
-}
-_SIZES = {k: int(np.prod(s)) for k, s in _SHAPES.items()}
-WEIGHTS = sum(_SIZES.values())
+#: The tables of nodes: for each digit but the first, an embedding of the digits before.
+_NODES = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh")
+
+
+def id_count(own: int) -> int:
+    """Ids of a vocabulary of so many words of their own."""
+    return max(own, OWN) + SHARED
+
+
+def shapes(ids: int = IDS) -> dict[str, tuple[int, ...]]:
+    digits = next(d for d in range(3, len(_NODES) + 2) if BASE**d >= ids)
+    out = {"embed": (len(_OFFSETS), ids + 1, WIDTH), "bias": (WIDTH,)}
+    out |= {k: (-(-ids // BASE ** (digits - 1 - i)), WIDTH) for i, k in enumerate(_NODES[: digits - 1])}
+    return out | {f"w{i}": (WIDTH, BASE) for i in range(digits)} | {f"b{i}": (BASE,) for i in range(digits)}
+
+
+def weights(ids: int = IDS) -> int:
+    return sum(int(np.prod(s)) for s in shapes(ids).values())
+
+
+#: Weights travel in blocks of so many numbers.
+BLOCK = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,16 +130,22 @@ class Vocabulary:
     def __init__(self, frequent: np.ndarray):
         self.order = np.argsort(frequent)
         self.sorted = frequent[self.order]
+        self.own, self.size = id_count(len(frequent)) - SHARED, id_count(len(frequent))
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of tokens of each)."""
+        ids, counts, _ = self.split(texts)
+        return ids, counts
+
+    def split(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the hashes of all words."""
         h, counts = word_hashes(texts)
-        ids = (OWN + (h >> np.uint64(32)) % np.uint64(IDS - OWN)).astype(np.int32)
+        ids = (self.own + (h >> np.uint64(32)) % np.uint64(SHARED)).astype(np.int32)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
             own = self.sorted[at] == h
             ids[own] = self.order[at[own]]
-        return ids, counts
+        return ids, counts, h
 
 
 def _slices(batch: pa.RecordBatch, column: int, size: int = 500) -> Iterator[tuple[int, list[str | None]]]:
@@ -147,28 +174,44 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", own: int = OWN) -> np.ndarray:
-    """The words with ids of their own: a bounded list of hashes, by count, then hash."""
-    got = word_counts(docs, text_col).orderBy(F.col("n").desc(), "word").limit(own).collect()
-    return np.array([r["word"] for r in got], np.int64).view(np.uint64)
+def most_frequent(counts: DataFrame, own: int = OWN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the words with ids of their own: all that occur `least` times, and `own` words in any case."""
+    n = max(own, counts.where(F.col("n") >= least).count())
+    got = counts.orderBy(F.col("n").desc(), "word").limit(n).toArrow()
+    return got["word"].to_numpy().view(np.uint64), got["n"].to_numpy()
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", own: int = OWN, least: int = LEAST) -> np.ndarray:
+    """The words with ids of their own: hashes, by count, then hash."""
+    return most_frequent(word_counts(docs, text_col), own, least)[0]
+
+
+def shared_counts(counts: DataFrame, frequent: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Occurrences of each shared id: SHARED sums, less those of the words with ids of their own."""
+    sums = np.zeros(SHARED, np.int64)
+    for r in counts.groupBy((F.shiftrightunsigned("word", 32) % SHARED).alias("i")).agg(F.sum("n").alias("n")).collect():
+        sums[r["i"]] = r["n"]
+    np.subtract.at(sums, ((frequent >> np.uint64(32)) % np.uint64(SHARED)).astype(np.int64), n)
+    return sums
 
 
-def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unpacked(flat: np.ndarray, ids: int = IDS) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
-        out[k] = flat[at : at + _SIZES[k]].reshape(s)
-        at += _SIZES[k]
+    for k, s in shapes(ids).items():
+        n = int(np.prod(s))
+        out[k] = flat[at : at + n].reshape(s)
+        at += n
     return out
 
 
-def initial(seed: int = 5) -> np.ndarray:
-    return np.random.default_rng(seed).normal(0, 0.1, WEIGHTS).astype(np.float32)
+def initial(seed: int = 5, ids: int = IDS) -> np.ndarray:
+    return np.random.default_rng(seed).normal(0, 0.1, weights(ids)).astype(np.float32)
 
 
-def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def contexts(ids: np.ndarray, counts: np.ndarray, beyond: int = IDS) -> np.ndarray:
     """(len(ids), 2 * WINDOW) ids around each position, padding beyond the ends of its text."""
     at = np.arange(len(ids)) + WINDOW * (1 + np.repeat(np.arange(len(counts)), counts))
-    padded = np.full(len(ids) + WINDOW * (len(counts) + 1), IDS, np.int32)
+    padded = np.full(len(ids) + WINDOW * (len(counts) + 1), beyond, np.int32)
     padded[at] = ids
     return np.stack([padded[at + o] for o in _OFFSETS], 1)
 
@@ -184,14 +227,15 @@ def _softmax(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def forward(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray):
     """(log p of each target, what the gradient needs)."""
     h = np.tanh(w["bias"] + sum(w["embed"][i][context[:, i]] for i in range(context.shape[1])))
-    a, ab, c = target // (BASE * BASE), target // BASE, target % BASE
-    inputs = (h, h + w["first"][a], h + w["second"][ab])
+    digits = sum(f"w{i}" in w for i in range(len(_NODES) + 1))
+    nodes = [target // BASE ** (digits - 1 - i) for i in range(digits)]  # the digits up to each
+    inputs = [h, *(h + w[k][n] for k, n in zip(_NODES, nodes[:-1]))]
     logp, ps = np.zeros(len(target), np.float32), []
-    for i, digit in enumerate((a, ab % BASE, c)):
-        lp, p = _softmax(inputs[i] @ w[f"w{i}"] + w[f"b{i}"], digit)
+    for i, node in enumerate(nodes):
+        lp, p = _softmax(inputs[i] @ w[f"w{i}"] + w[f"b{i}"], node % BASE)
         logp += lp
-        ps.append((p, digit))
-    return logp, (h, inputs, ps, a, ab)
+        ps.append((p, node % BASE))
+    return logp, (h, inputs, ps, nodes[:-1])
 
 
 def _scatter(index: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
@@ -200,26 +244,27 @@ def _scatter(index: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
 
 def gradient(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Of the summed negative log-probability."""
-    _, (h, inputs, ps, a, ab) = forward(w, context, target)
+    _, (h, inputs, ps, nodes) = forward(w, context, target)
     out, back = {}, []
     for i, (p, digit) in enumerate(ps):
         d = p.copy()
         d[np.arange(len(d)), digit] -= 1
         out[f"w{i}"], out[f"b{i}"] = inputs[i].T @ d, d.sum(0)
         back.append(d @ w[f"w{i}"].T)
-    out["first"], out["second"] = _scatter(a, back[1], BASE), _scatter(ab, back[2], BASE * BASE)
-    dz = (back[0] + back[1] + back[2]) * (1 - h * h)
+    for k, node, g in zip(_NODES, nodes, back[1:]):
+        out[k] = _scatter(node, g, len(w[k]))
+    dz = sum(back) * (1 - h * h)
     out["bias"] = dz.sum(0)
-    out["embed"] = np.stack([_scatter(context[:, i], dz, IDS + 1) for i in range(context.shape[1])])
+    out["embed"] = np.stack([_scatter(context[:, i], dz, w["embed"].shape[1]) for i in range(context.shape[1])])
     return out
 
 
 class Trainer:
     """Adagrad over batches of masked positions."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat.copy()
-        self.w, self.seen = unpacked(self.flat), unpacked(np.full(WEIGHTS, 1e-3, np.float32))
+    def __init__(self, flat: np.ndarray, ids: int = IDS):
+        self.flat, self.ids = flat.copy(), ids
+        self.w, self.seen = unpacked(self.flat, ids), unpacked(np.full(len(flat), 1e-3, np.float32), ids)
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.tokens = 0
 
@@ -228,7 +273,7 @@ class Trainer:
         place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = np.flatnonzero((ids.astype(np.int64) * 31 + place * 7 + round_) % MASK == 0)
         if len(at):
-            self.held.append((contexts(ids, counts)[at], ids[at]))
+            self.held.append((contexts(ids, counts, self.ids)[at], ids[at]))
             self.waiting += len(at)
             if self.waiting >= BATCH:
                 self.step()
@@ -247,62 +292,96 @@ class Trainer:
         self.held, self.waiting = [], 0
 
 
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of weights, averaged by tokens."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for block, tokens, x in zip(*(batch.column(i) for i in range(3))):
+            s = sums.setdefault(block.as_py(), [0, 0.0])
+            s[0] += tokens.as_py()
+            s[1] = s[1] + x.values.to_numpy().astype(np.float64) * tokens.as_py()
+    for block, (tokens, s) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(s / tokens).astype(np.float32)], pa.list_(pa.float32()))], names=["block", "weights"])
+
+
 def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights. What reaches the driver is one set of weights a round."""
-    sc, flat = docs.sparkSession.sparkContext, initial()
-    words = sc.broadcast(frequent)  # at most OWN words
+    sc, flat = docs.sparkSession.sparkContext, initial(ids=id_count(len(frequent)))
+    words = sc.broadcast(frequent)  # 8 bytes a word with an id of its own
     for round_ in range(rounds):
-        start = sc.broadcast(flat)  # WEIGHTS numbers
+        start = sc.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], round_=round_, start=start) -> Iterator[pa.RecordBatch]:
-            vocabulary, t = Vocabulary(words.value), Trainer(start.value)
+            vocabulary = Vocabulary(words.value)
+            t = Trainer(start.value, vocabulary.size)
             for b in batches:
                 for _, texts in _slices(b, 0):
                     t.add(*vocabulary.ids(texts), round_)
             t.step()
             if t.tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([t.tokens], pa.int64()), pa.array([t.flat], pa.list_(pa.float32()))], names=["tokens", "weights"])
-
-        local = docs.select(text_col).mapInArrow(run, "tokens bigint, weights array<float>")
-        each = local.select("tokens", F.posexplode("weights").alias("i", "x"))
-        mean = each.groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("tokens")) / F.sum("tokens")).alias("x"))
-        got = mean.toPandas()  # WEIGHTS rows at most
-        if len(got) == WEIGHTS:
-            flat = flat.copy()
-            flat[got["i"].to_numpy()] = got["x"].to_numpy().astype(np.float32)
+                for at in range(0, len(t.flat), BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([t.tokens], pa.int64()), pa.array([t.flat[at : at + BLOCK]], pa.list_(pa.float32()))], names=["block", "tokens", "weights"])
+
+        local = docs.select(text_col).mapInArrow(run, "block int, tokens bigint, weights array<float>")
+        got = local.repartition("block").mapInArrow(_mean, "block int, weights array<float>").toArrow()
+        flat = flat.copy()
+        for block, x in zip(got["block"].to_pylist(), got["weights"]):
+            flat[block * BLOCK : (block + 1) * BLOCK] = x.values.to_numpy()
         start.unpersist()
     return flat
 
 
-def text_scores(w: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Summed conditional log-probabilities of all tokens of each text."""
-    context = contexts(ids, counts)
+def text_scores(w: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+    """Summed conditional log-probabilities of all tokens of each text; given: what is added to that of each token."""
+    context = contexts(ids, counts, w["embed"].shape[1] - 1)
     logp = [forward(w, context[i : i + BATCH], ids[i : i + BATCH])[0] for i in range(0, len(ids), BATCH)]
-    sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logp or [np.empty(0)]), dtype=np.float64)])
+    each = np.concatenate(logp or [np.empty(0)]).astype(np.float64)
+    sums = np.concatenate([[0.0], np.cumsum(each if given is None else each + given)])
     ends = np.cumsum(counts)
     return sums[ends] - sums[ends - counts]
 
 
-def score(docs: DataFrame, flat: np.ndarray, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, pll, mean_pll) of every row; one narrow pass."""
+def score(docs: DataFrame, flat: np.ndarray, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text", shared_n: np.ndarray | None = None) -> DataFrame:
+    """(id_col, n_tokens, pll, mean_pll) of every row; one narrow pass. A shared id counts as one word; with the occurrences of the
+    shared ids (shared_n), pll is less their logarithm for each such word, and the words' hashes are in one more column, _rare."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((flat, frequent))
+    shared = sc.broadcast((flat, frequent, shared_n))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, vocabulary = unpacked(shared.value[0]), Vocabulary(shared.value[1])
+        vocabulary, n_of = Vocabulary(shared.value[1]), shared.value[2]
+        w = unpacked(shared.value[0], vocabulary.size)
         for whole in batches:
             for at, texts in _slices(whole, 1):
-                ids, n = vocabulary.ids(texts)
-                sums = text_scores(w, ids, n)
+                ids, n, h = vocabulary.split(texts)
+                given, more = None, {}
+                if n_of is not None:
+                    rare = ids >= vocabulary.own
+                    given = np.zeros(len(ids))
+                    given[rare] = -np.log(n_of[ids[rare] - vocabulary.own])
+                    upto = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], np.cumsum(n)])]
+                    more["_rare"] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h[rare].view(np.int64)))
+                sums = text_scores(w, ids, n, given)
                 means = pa.array(np.divide(sums, n, where=n > 0, out=np.zeros(len(n))), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(texts)), pa.array(n), pa.array(sums), means], names=[id_col, "n_tokens", "pll", "mean_pll"])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(texts)), pa.array(n), pa.array(sums), means, *more.values()], names=[id_col, "n_tokens", "pll", "mean_pll", *more])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, pll double, mean_pll double" + (", _rare array<bigint>" if shared_n is not None else ""))
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, pll double, mean_pll double")
+def with_word_counts(scored: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds the logarithm of its count for each word in _rare. Words of one occurrence add nothing."""
+    rows = materialize(scored.withColumn("_rid", F.monotonically_increasing_id()), "pll-scored")
+    each = rows.select("_rid", F.explode("_rare").alias("word")).join(counts.where("n > 1"), "word")
+    more = each.groupBy("_rid").agg(F.sum(F.ln("n")).alias("_more"))
+    pll = F.col("pll") + F.coalesce("_more", F.lit(0.0))
+    out = rows.drop("_rare").join(more, "_rid", "left").withColumn("pll", pll)
+    return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))).select(*[c for c in scored.columns if c != "_rare"])
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Counts, trains and scores on docs."""
     bounded_batches(docs.sparkSession)
-    frequent = frequent_words(docs, text_col)
-    return score(docs, train(docs, frequent, text_col, rounds), frequent, id_col, text_col)
+    counts = materialize(word_counts(docs, text_col), "pll-counts")
+    frequent, n = most_frequent(counts)
+    flat = train(docs, frequent, text_col, rounds)
+    return with_word_counts(score(docs, flat, frequent, id_col, text_col, shared_counts(counts, frequent, n)), counts)

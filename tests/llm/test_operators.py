@@ -328,6 +328,41 @@ def test_pseudo_likelihood(docs, odd, empty):
     assert scored[3]["pll"] == 0.0 and scored[3]["mean_pll"] is None and pseudo_likelihood.pseudo_likelihood(empty, rounds=1).count() == 0
 
 
+def test_pseudo_likelihood_of_words(spark, docs):
+    counts = pseudo_likelihood.word_counts(docs).cache()
+    all_n = {np.int64(r["word"]).view(np.uint64).item(): r["n"] for r in counts.collect()}
+    frequent, n = pseudo_likelihood.most_frequent(counts, own=100, least=8)  # every word above the threshold, though own is less
+    assert set(frequent.tolist()) == {w for w, k in all_n.items() if k >= 8} and len(frequent) > 100
+    flat, vocabulary = pseudo_likelihood.train(docs, frequent, rounds=1), pseudo_likelihood.Vocabulary(frequent)
+    w, buckets = pseudo_likelihood.unpacked(flat, vocabulary.size), collections.Counter()
+    for x, k in all_n.items():
+        if x not in set(frequent.tolist()):
+            buckets[(x >> 32) % pseudo_likelihood.SHARED] += k
+    got = {r["doc_id"]: r for r in pseudo_likelihood.with_word_counts(pseudo_likelihood.score(docs, flat, frequent, shared_n=pseudo_likelihood.shared_counts(counts, frequent, n)), counts).collect()}
+    assert len(got) == docs.count()
+    for r in docs.limit(5).collect():
+        ids, k, h = vocabulary.split([r["text"]])
+        total = float(pseudo_likelihood.text_scores(w, ids, k)[0]) + sum(math.log(all_n[x] / buckets[(x >> 32) % pseudo_likelihood.SHARED]) for x in h.tolist() if all_n[x] < 8)
+        assert abs(got[r["doc_id"]]["pll"] - total) < 1e-3 * abs(total) + 1e-3 and abs(got[r["doc_id"]]["mean_pll"] * k[0] - total) < 1e-3 * abs(total) + 1e-3
+    junk, known = "zzqx wqpv xxkj qqzv", " ".join(["the of"] * 2)
+    extra = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, junk), (-2, known)], "doc_id long, text string"))
+    scored = {r["doc_id"]: r["mean_pll"] for r in pseudo_likelihood.pseudo_likelihood(extra, rounds=1).where("doc_id < 0").collect()}
+    assert scored[-1] < scored[-2] - 2
+
+
+def test_vocabulary_beyond_three_digits():
+    rng, ids = np.random.default_rng(0), pseudo_likelihood.id_count(5000)
+    w = pseudo_likelihood.unpacked(pseudo_likelihood.initial(ids=ids), ids)
+    assert ids > 4096 and "w3" in w and w["third"].shape[0] * 16 >= ids
+    context, target = rng.integers(0, ids + 1, (40, 4)), rng.integers(4096, ids, 40)
+    logp = pseudo_likelihood.forward(w, context, target)[0]
+    g = pseudo_likelihood.gradient(w, context, target)
+    assert {k: v.shape for k, v in g.items()} == {k: v.shape for k, v in w.items()}
+    for k in w:
+        w[k] -= 0.01 * g[k]
+    assert pseudo_likelihood.forward(w, context, target)[0].sum() > logp.sum()
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     w = pseudo_likelihood.unpacked(pseudo_likelihood.initial().astype(np.float64))
