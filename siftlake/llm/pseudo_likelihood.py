@@ -7,8 +7,9 @@ by a softmax given h and the digits before, so a step costs 16 outputs a digit a
 with a shared id is that of the id times the word's share of the id's occurrences, by a join with the full counts; words with an id
 of their own are left out of it, so no key of it has more than LEAST rows. A document's score is the sum of log p(word | both sides) over all its words.
 
-Training is distributed: each partition goes once through all its documents, masking every MASK-th position by a
-hash, from common starting weights; weights are then averaged by tokens (only they are shuffled), for ROUNDS rounds with other masks.
+Training is distributed: each partition goes through all its documents, from common starting weights; weights are then averaged by
+tokens (only they are shuffled), for ROUNDS rounds. A hash of token, place and document deals the positions to the rounds, so every
+position is a target in one of them.
 Everything covers all data; what is gathered (word counts and weights of every partition, rare words of every row) grows with it.
 
 Defined cases: null or empty texts have no tokens, a score of 0.0 and a mean of null; a text of one word is predicted from
@@ -32,7 +33,7 @@ SHARED = IDS - OWN
 #: Words of so many occurrences have ids of their own, however many words these are.
 LEAST = 1000
 WINDOW, WIDTH = 2, 16
-ROUNDS, MASK = 2, 4
+ROUNDS = 2
 BATCH, RATE = 16_384, 0.1
 #: Words that a task counts before it hands its counts on; bytes of text that are hashed at a time.
 COUNTED, SEGMENT = 2_000_000, 1 << 20
@@ -259,8 +260,18 @@ def gradient(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray)
     return out
 
 
+def dealt(ids: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
+    """The round of each position, by a hash of its token, its place and its text."""
+    ends = np.cumsum(counts)
+    place = np.arange(len(ids)) - np.repeat(ends - counts, counts)
+    own = _mix(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32)) + np.uint64(1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+    text = _mix(sums[ends] - sums[ends - counts])
+    return (_mix(own ^ np.repeat(text, counts)) % np.uint64(rounds)).astype(np.int64)
+
+
 class Trainer:
-    """Adagrad over batches of masked positions."""
+    """Adagrad over batches of positions."""
 
     def __init__(self, flat: np.ndarray, ids: int = IDS):
         self.flat, self.ids = flat.copy(), ids
@@ -268,10 +279,9 @@ class Trainer:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.tokens = 0
 
-    def add(self, ids: np.ndarray, counts: np.ndarray, round_: int) -> None:
-        """Takes in texts; masked are the positions whose token and place in the text hash to the round."""
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.flatnonzero((ids.astype(np.int64) * 31 + place * 7 + round_) % MASK == 0)
+    def add(self, ids: np.ndarray, counts: np.ndarray, round_: int, rounds: int) -> None:
+        """Takes in texts; targets are the positions dealt to the round."""
+        at = np.flatnonzero(dealt(ids, counts, rounds) == round_)
         if len(at):
             self.held.append((contexts(ids, counts, self.ids)[at], ids[at]))
             self.waiting += len(at)
@@ -316,7 +326,7 @@ def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", rounds:
             t = Trainer(start.value, vocabulary.size)
             for b in batches:
                 for _, texts in _slices(b, 0):
-                    t.add(*vocabulary.ids(texts), round_)
+                    t.add(*vocabulary.ids(texts), round_, rounds)
             t.step()
             if t.tokens:
                 for at in range(0, len(t.flat), BLOCK):

@@ -350,6 +350,21 @@ def test_pseudo_likelihood_of_words(spark, docs):
     assert scored[-1] < scored[-2] - 2
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_position_is_a_target_once(rounds):
+    texts = [["kopf", "zeile", *f"{i} a b c d e f g".split()] for i in range(400)]
+    vocabulary = pseudo_likelihood.Vocabulary(np.empty(0, np.uint64))
+    ids, n = vocabulary.ids([" ".join(t) for t in texts] + [""])
+    trained = []
+    for round_ in range(rounds):
+        t = pseudo_likelihood.Trainer(pseudo_likelihood.initial())
+        t.add(ids, n, round_, rounds)
+        trained.append(np.concatenate([x for _, x in t.held]))
+    assert sorted(np.concatenate(trained).tolist()) == sorted(ids.tolist())
+    of = pseudo_likelihood.dealt(ids, n, rounds)
+    assert all(abs((of[k::10] == r).mean() - 1 / rounds) < 0.12 for k in range(10) for r in range(rounds))  # a header is in all rounds
+
+
 def test_vocabulary_beyond_three_digits():
     rng, ids = np.random.default_rng(0), pseudo_likelihood.id_count(5000)
     w = pseudo_likelihood.unpacked(pseudo_likelihood.initial(ids=ids), ids)
