@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..functions import validators as V
 from ..functions.redact import redact
 from ..operators import findings as R
 from ..operators import tokenize as K
-from ..operators.detect import detect, findings, passes_prefilter, rejected_counts
+from ..operators.detect import candidates, detect, findings, passes_prefilter, rejected_counts
 from ..sources.lines import from_table, limit_lines
 from .scan import scan_table
 
@@ -318,5 +319,75 @@ def quality_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.quality(gold, findings(detect(lines, shipped())))
 
 
+# The operators above whose SQL states a fixture, over all candidates of whole tables; too slow in DuckDB for SQL.
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, text) of every text of documents, pages and events."""
+    columns = [("documents", "doc_id", "text"), ("pages", "page_id", "url"), ("pages", "page_id", "html"), ("events", "event_id", "props")]
+    each = [spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.lit(f"{t}.{c}").alias("tbl"), F.col(i).alias("id"), F.col(c).alias("text")) for t, i, c in columns]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _candidates(spark: SparkSession, sf_dir: str, catalog: Catalog) -> DataFrame:
+    return candidates(from_table(texts(spark, sf_dir), keep=("tbl", "id")), catalog)
+
+
+def _counted(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy("tbl", *columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def iban_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_candidates(spark, sf_dir, _only("IBAN")).withColumn("valid", V.iban_valid(F.col("value"))), "value", "valid")
+
+
+@query()
+def tax_id_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_candidates(spark, sf_dir, _only("SteuerID")).withColumn("valid", V.tax_id_valid(F.col("value"))), "value", "valid")
+
+
+@query()
+def jwt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_candidates(spark, sf_dir, _only("JWT")).withColumn("valid", V.jwt_valid(F.col("value"))), "value", "valid")
+
+
+@query()
+def street_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_candidates(spark, sf_dir, _only("strasse")).withColumn("status", V.street_status(F.col("value"), F.col("line"))), "value", "status")
+
+
+@query()
+def pem_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key block of every text, whichever lines it spans: from its beginning to the next one's, or the end."""
+    begin = "(?i)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+    blocks = F.filter(F.split("text", f"(?={begin})", -1), lambda b: b.rlike(begin))
+    rows = texts(spark, sf_dir).where(F.col("text").rlike(begin)).select("tbl", "id", F.explode(blocks).alias("block"))
+    return _counted(rows.withColumn("status", V.private_key_status(F.col("block"))), "id", "status")
+
+
+@query()
+def field_values_masked_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, v = shipped(), F.col("value")
+    rows = _candidates(spark, sf_dir, Catalog(tuple(r for r in c.rules if r.kind == "field"), c.stopwords, c.hints))
+    return _counted(rows.withColumns({"masked": X.is_masked(v), "path": X.looks_like_path(v)}), "value", "masked", "path")
+
+
+@query()
+def sanitized_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text as a cell."""
+    cells = texts(spark, sf_dir).select("tbl", "id", F.posexplode(F.split("text", "\r?\n", -1)).alias("line_no", "cell"))
+    return cells.select("tbl", "id", F.col("line_no") + 1, X.sanitize_cell(F.col("cell")).alias("safe")).toDF("tbl", "id", "line_no", "safe")
+
+
+@query()
+def inline_pair_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs in the tokens of all lines, and in what stands between blanks, where tokens end at = already."""
+    lines = from_table(texts(spark, sf_dir), keep=("tbl", "id")).where(F.contains("line", F.lit(":")) | F.contains("line", F.lit("=")))
+    between = F.filter(F.split("line", r"(?U)\s+"), lambda t: F.contains(t, F.lit("=")) & ~F.array_contains(F.col("t"), t))
+    rows = lines.withColumn("t", K.tokens(F.col("line"))).select("tbl", F.explode(F.concat("t", between)).alias("token"))
+    return _counted(rows.withColumn("p", K.inline_pair(F.col("token"))).where("p is not null").select("tbl", "p.key", "p.value"), "key", "value")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_findings(spark, sf_dir)
