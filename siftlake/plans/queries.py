@@ -389,5 +389,52 @@ def inline_pair_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(rows.withColumn("p", K.inline_pair(F.col("token"))).where("p is not null").select("tbl", "p.key", "p.value"), "key", "value")
 
 
+@query()
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every document under the mask."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(words, lambda w: redact(w)), " ").alias("masked"))
+
+
+@query()
+def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window around every occurrence in a line."""
+    lines = from_table(documents(spark, sf_dir)).where(F.contains("line", F.lit("tion")))
+    gaps = F.transform(F.split("line", "tion", -1), lambda g: F.char_length(g))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda a, g: F.struct((a["at"] + g + 4).alias("at"), F.concat(a["all"], F.array(a["at"] + g)).alias("all"))
+    found = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step)["all"]
+    at = F.col("at")
+    rows = lines.select("doc_id", "line", F.explode(found).alias("at"))
+    return rows.select("doc_id", X.context_window(F.col("line"), at, at + 4, 120, 120)["text"].alias("context")).groupBy("doc_id", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of all documents, their sources as files; a line is named by its document too, so the order is total."""
+    found = scan_table(documents(spark, sf_dir), file_col="source").found
+    return found.withColumn("line_no", F.struct("doc_id", "line_no"))
+
+
+@query()
+def findings_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.cap(_all_findings(spark, sf_dir)).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.summary(_all_findings(spark, sf_dir))
+
+
+@query()
+def findings_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.severity_matrix(R.summary(_all_findings(spark, sf_dir)))
+
+
+@query()
+def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules, those without a finding too."""
+    return R.with_rules(R.summary(_all_findings(spark, sf_dir)), shipped()).drop("ord")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_findings(spark, sf_dir)
