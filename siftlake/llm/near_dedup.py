@@ -2,7 +2,8 @@
 
 A document is the multiset of its runs of SHINGLE words (lower case, runs of word characters). Its signature has one
 register per hash function. The weight axis of a shingle is discretised into dyadic blocks [0,1), [1,2), [2,4),
-[4,8), ...; each block has a Poisson process of points in time at the block's length as rate, split on demand: a point has a position
+[4,8), ...; each block has one Poisson process of points in time at the block's length as rate; blocks are not split further (the hierarchical
+step of BagMinHash), points beyond the weight are rejected instead: a point has a position
 within its block and belongs to the document if the position lies below the shingle's weight. Every point picks a
 register, which keeps its earliest point. Two signatures agree in a register with probability equal to the
 weighted Jaccard similarity. Generating points in order of time and stopping once all registers are filled makes the work per document
