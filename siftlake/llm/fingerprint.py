@@ -4,8 +4,8 @@ A text's lines are its paragraphs; a paragraph's digest is the SHA-256 of its te
 form a section, which ends after a paragraph whose digest begins with one of four hex digits, so that an
 edit moves no section boundary but its own. A section's digest is the SHA-256 of its paragraphs' digests, the root
 that of the sections' digests. Equal roots mean equal texts; where roots differ, comparing sections and then
-paragraphs locates the edit. Below a paragraph there are leaves (runs of up to LEAF words
-within a sentence) with 64-bit digests; they only grade how alike two trees are.
+paragraphs locates the edit. Beside the tree there is a set of leaves (distinct runs of up to LEAF words
+within a sentence) with 64-bit digests; they are in no node, and only grade how alike two texts are.
 
 Defined cases: null text counts as empty; an empty text is one empty paragraph; two texts without leaves are
 alike with 1.0. Next documents go by (id, text), null ids first, and the last row's next is the first row; a
