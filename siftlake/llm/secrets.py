@@ -28,7 +28,7 @@ PATTERNS = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]{12,}",
     "hex": r"[0-9a-f]{32,}",
-    "linked_id": r"""(?i:(?<![a-z0-9])(?:client|access_?key|key|account|user|tenant|login)(?:_?(?:id|name))?["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,64}))""",
+    "linked_id": r"""(?i:(?<![a-z0-9])(?:client|access_?key|key|account|user|tenant|login)(?:_?(?:id|name))?["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,}))""",
     "linked_secret": r"""(?i:(?<![a-z0-9])(?:pass(?:phrase|code)?|pwd|credentials?|auth|signature|sig|sas|(?:private|shared|access|account)_?key|key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,})|(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])""",
     "linked_endpoint": r"""(?i:(?<![a-z0-9])(?:https?|ftp|jdbc:[a-z]{2,16}|amqps?|redis|postgres(?:ql)?|mongodb)://[^\s"'<>]{3,}|(?<![a-z0-9])(?:host|server|endpoint|url|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,})""",
 }

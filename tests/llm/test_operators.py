@@ -305,6 +305,13 @@ def test_interactions_are_the_pairwise_sum():
     assert abs(m.raw(i, x)[0] - (m.bias + float(m.w[i] @ x) + pairs)) < 1e-3
 
 
+# 6
+def test_long_identifiers_are_taken_whole(spark):
+    text = f"user: {'u' * 200} pwd: hunter2hunter"
+    got = secrets.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).where("kind = 3").collect()
+    assert [text[r["start"] : r["end"]] for r in got] == [f"user: {'u' * 200}"]
+
+
 # 1
 def test_pseudo_likelihood(docs, odd, empty):
     frequent = pseudo_likelihood.frequent_words(docs)
