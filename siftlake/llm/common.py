@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the cluster sets it.
-    Only where it is unset (tests, local mode) a temporary folder is made, once a session."""
+    Only in local mode, as in tests, an unset one is replaced by a temporary folder, once a session: a machine's own
+    folder is of no use to the others of a cluster."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='siftlake-')}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -41,6 +46,42 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL and schema strings take it, whatever it contains."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front as long as a column (of any case) has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_hash(text: str | Column) -> Column:
+    """With an id, names a row's text."""
+    return F.xxhash64(text_of(text))
+
+
+def without(docs: DataFrame, dropped: DataFrame, once: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose (id, text_hash) is in dropped, and with one of the rows of each pair in once. Both are written
+    tables of two columns: Spark knows their sizes and broadcasts them only if they are small, and then no text moves. Rows of a
+    pair in once are folded where they are read, so a pair may have any number of them."""
+    h, i, n, r = unused(docs.columns, "hash", "gone_id", "gone_hash", "row")
+    keyed = docs.withColumn(h, text_hash(F.col(quoted(text_col))))
+    same = F.col(quoted(id_col)).eqNullSafe(F.col(i)) & (F.col(h) == F.col(n))
+    rest = keyed.join(dropped.unionByName(once).toDF(i, n), same, "left_anti").select(*map(quoted, docs.columns))
+    if once.isEmpty():
+        return rest
+    rows = keyed.join(once.toDF(i, n), same, "left_semi")
+    first = rows.groupBy(quoted(id_col), h).agg(F.first(F.struct(*map(quoted, docs.columns))).alias(r)).select(f"{r}.*")
+    return rest.unionByName(first)
+
+
 #: Bytes of an Arrow batch that goes to or from a Python worker, at most (one longer text makes a batch of its own).
 BATCH_BYTES = 4 << 20
 

@@ -7,7 +7,8 @@ hash that has been verified: every hash is checked to stand for one chunk text,
 a hash, the lists of the documents concerned get an ordinal beside it.
 
 Defined cases: null text counts as empty; an empty text has the empty list, so all empty texts are equal.
-Null ids are allowed and lose against any other id. Repeated rows are members of their group like others.
+Null ids are allowed and lose against any other id. Of rows that share the largest id of their group (repeated ids, or
+repeated rows) one is kept: the one with the larger hash of its raw text, and of equal rows any.
 Columns of the input other than id and text are not read and cannot clash.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, text_of
+from .common import materialize, quoted, text_hash, text_of, without
 
 #: Chunks have at least MIN_CHUNK and at most MAX_CHUNK characters, but for the last one of a text.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
@@ -59,9 +60,11 @@ def ambiguous_chunks(store: DataFrame) -> DataFrame:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
-    """(id, recipe, ordinals, text_sha256) for each row. ordinals is null but where a chunk's hash is ambiguous."""
-    lists = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("t")).select(
-        "id", F.transform(chunks(F.col("t")), lambda c: F.xxhash64(c)).alias("recipe"), F.sha2("t", 256).alias("text_sha256")
+    """(id, raw, recipe, ordinals, text_sha256) for each row; raw is the text_hash of the text as it is. ordinals is null but
+    where a chunk's hash is ambiguous."""
+    id_col, text_col = quoted(id_col), quoted(text_col)
+    lists = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("raw"), normalised(text_col).alias("t")).select(
+        "id", "raw", F.transform(chunks(F.col("t")), lambda c: F.xxhash64(c)).alias("recipe"), F.sha2("t", 256).alias("text_sha256")
     )
     none = F.lit(None).cast(T.ArrayType(T.StringType()))
     if not verify:
@@ -78,28 +81,44 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ver
         .groupBy("text_sha256")
         .agg(F.array_sort(F.collect_set(F.format_string("%010d:%d", "at", "ordinal"))).alias("ordinals"))
     )
-    return lists.join(located, "text_sha256", "left").select("id", "recipe", "text_sha256", "ordinals")
+    return lists.join(located, "text_sha256", "left").select("id", "raw", "recipe", "text_sha256", "ordinals")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id_col, keep_id, group_size, kept, text_sha256). Texts that are equal after
-    lower-casing A-Z form a group, of which the largest id stays; of repeated rows with that id, all are marked kept.
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: (id, raw, keep_id, keep_raw, group_size, kept, text_sha256).
 
     Only lists and ids are shuffled by the list. Groups of two or more are few rows and stand alone as a
     table, so the join back is one whose hot side the engine may split."""
-    lists = materialize(recipes(docs, id_col, text_col), "recipes")
+    lists = materialize(recipes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "recipes")
     shared = (
         lists.groupBy("recipe", "ordinals")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.max(F.struct("id", "raw", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
     )
     shared = materialize(shared, "recipe-groups").withColumnsRenamed({"recipe": "g_recipe", "ordinals": "g_ordinals"})
     same = (F.col("recipe") == F.col("g_recipe")) & F.col("ordinals").eqNullSafe(F.col("g_ordinals"))
-    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    alone = F.col("group_size").isNull()
     return lists.join(shared, same, "left").select(
-        F.col("id").alias(id_col),
-        keep.alias("keep_id"),
+        "id",
+        "raw",
+        F.when(alone, F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
+        F.when(alone, F.col("raw")).otherwise(F.col("top.raw")).alias("keep_raw"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("id")).alias("kept"),
+        (alone | (F.col("row") == F.col("top.row"))).alias("kept"),
         "text_sha256",
     )
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: (id_col, keep_id, group_size, kept, text_sha256). Texts that are equal after
+    lower-casing A-Z form a group, of which one row with the largest id stays."""
+    return marked(docs, id_col, text_col).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the row of each group that stays, with all its columns. Texts stay where they are unless many rows go."""
+    rows = materialize(marked(docs, id_col, text_col).where("group_size > 1").select("id", "raw", "keep_id", "keep_raw", "kept"), "exact-shared")
+    of_kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw"))
+    dropped = materialize(rows.where(~of_kept).select("id", "raw").distinct(), "exact-dropped")
+    once = materialize(rows.where(of_kept).groupBy("id", "raw").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "raw"), "exact-once")
+    return without(docs, dropped, once, id_col, text_col)
