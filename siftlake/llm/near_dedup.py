@@ -36,9 +36,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bounded_batches, materialize, text_of
+from .common import bounded_batches, materialize, quoted, text_hash, text_of, without
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -157,10 +156,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held: list[tuple] = []
         weight = 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for key, text, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             text = text.as_py()
             b = bag(text)
-            held.append((key, node_of(text, *b), b))
+            held.append((key, node_of(text, *b), b, raw))
             weight += len(b[0])
             if weight > 300_000:
                 yield _sketched(held, batch.schema.field(0).type)
@@ -177,8 +176,11 @@ def _sketched(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         s = signatures([held[i][2] for i in full])
         for i, keys, low in zip(full, band_keys(s), (mix(s.view(_U)) & _U(255)).astype(np.uint8)):
             bands[i], bits[i] = keys, low.tobytes()
-    arrays = [pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array([len(x[2][0]) for x in held], pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["id", "node", "bands", "bits", "weight"])
+    arrays = [
+        pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
+        pa.array([len(x[2][0]) for x in held], pa.int64()), pa.array([x[3] for x in held], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=["id", "node", "bands", "bits", "weight", "raw"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -334,12 +336,13 @@ def bucket_components(crowded: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, named): (id, node) of every row of docs, and (node, label, class_id, class_size, class_node) of every node;
-    class_node is the node of the class's least id."""
+    """(rows, named): (id, node, raw) of every row of docs, raw being the text_hash, and (node, label, class_id, class_size,
+    class_node) of every node; class_node is the node of the class's least id."""
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    sketched = materialize(keyed.mapInArrow(_sketch, f"id {kind}, node bigint, bands array<bigint>, bits binary, weight bigint"), "near-sketch")
+    id_col, text_col = quoted(id_col), quoted(text_col)
+    keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"), text_hash(text_col).alias("raw"))
+    kind = keyed.schema["id"].dataType.simpleString()
+    sketched = materialize(keyed.mapInArrow(_sketch, f"id {kind}, node bigint, bands array<bigint>, bits binary, weight bigint, raw bigint"), "near-sketch")
     nodes = materialize(sketched.groupBy("node", "bands", "bits", "weight").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
@@ -357,7 +360,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> t
         F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.coalesce(F.min_by("node", "id"), F.min("node")).alias("class_node")
     )
     named = materialize(label.join(named, "label").select("node", "label", "class_id", "class_size", "class_node"), "near-classes")
-    return sketched.select("id", "node"), named
+    return sketched.select("id", "node", "raw"), named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -369,17 +372,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class, with all its columns: the row with the class's least id (one of them, if rows repeat)."""
-    _, named = classes(docs, id_col, text_col, similarity)
-    keep = named.where("node = class_node").select(F.col("node").alias("_k_node"), F.col("class_id").alias("_k_id"))
-    at = docs.columns.index(text_col)
-
-    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = [node_of(t, *bag(t)) for t in (x.as_py() or "" for x in b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], names=[*b.schema.names, "_node"])
-
-    noded = docs.mapInArrow(with_node, docs.select("*", F.lit(0).cast("long").alias("_node")).schema)
-    kept = noded.join(keep, (F.col("_node") == F.col("_k_node")) & F.col(id_col).eqNullSafe(F.col("_k_id")))
-    number = F.row_number().over(Window.partitionBy("_k_node").orderBy("_k_node"))
-    return kept.withColumn("_number", number).where("_number = 1").select(*docs.columns)
+    """docs with one row of each class, with all its columns: the row with the class's least id (of rows that share it, the one
+    with the least text_hash, and of equal rows any). Rows that go are named by id and hash, so texts are not parsed again."""
+    rows, named = classes(docs, id_col, text_col, similarity)
+    of = named.where("class_size > 1").select(F.col("node").alias("n_node"), "label", "class_id", "class_node")
+    shared = materialize(rows.join(of, F.col("node") == F.col("n_node")).select("id", "raw", "label", F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).toDF("id", "raw", "label", "least"), "near-shared")
+    # rows of a class fold to their (id, hash) where they are read, then the few that have the least id to one
+    keep = shared.where("least").groupBy("label", "id", "raw").agg(F.count(F.lit(1)).alias("n"))
+    keep = materialize(keep.groupBy("label").agg(F.min(F.struct("raw", "id", "n")).alias("k")).select("label", "k.*"), "near-kept")
+    keys = keep.select(F.col("id").alias("k_id"), F.col("raw").alias("k_raw"))
+    dropped = shared.select("id", "raw").distinct().join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("raw") == F.col("k_raw")), "left_anti")
+    return without(docs, materialize(dropped, "near-dropped"), materialize(keep.where("n > 1").select("id", "raw"), "near-once"), id_col, text_col)
