@@ -18,12 +18,13 @@ Columns other than id, text and source are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_of
+from .common import materialize, quoted, text_hash, text_of, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that a bucket of the rank statistic holds near the cut, in expectation, at most.
@@ -66,20 +67,29 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return per.select("source", "entries", "source_size", "weight", F.coalesce(F.least(F.col("level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def allocate(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = (5, 2, 1),
-    share: float = 1.5,
-    most: float = 2.0,
-    seed: str = "mix",
-) -> DataFrame:
-    """One row per distinct (id, source, text): id, source, text_hash, size, k (equal rows), source_size, target, whole
-    (copies that each of the k gets) and extra (how many of the k get one more)."""
+def _ranked(rows: DataFrame, by_source: DataFrame, seed: str) -> DataFrame:
+    """rows (id, source, ...) with the figures of their source and their bucket; by_source is a written table, one row a source."""
+    out = rows.join(by_source.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+    u = uniform(seed, "id", "source")
+    q = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
+    out = out.withColumn("t", F.when(F.col("pi") > 0, q / (1 + q)))
+    return out.withColumn("bucket", F.least(F.floor(F.col("t") * F.col("buckets")), F.col("buckets") - 1))
+
+
+#: What of a ranked row is decided without a look at other rows: all but the bucket of its source that holds the cut.
+_CLEAR = "pi <= 0 or cut is null or bucket <> cut"
+
+
+def _clear_extra() -> Column:
+    return ((F.col("pi") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))).cast("int")
+
+
+def _allocated(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, most: float, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked, by_source, at_cut): the folded entries with bucket and cut, the figures of each source, and the allotted entries of the
+    buckets that hold a cut."""
+    id_col, text_col, source_col = quoted(id_col), quoted(text_col), quoted(source_col)
     entries = (
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_of(text_col)).alias("text_hash"), word_count(text_col).alias("size"))
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_hash(text_col).alias("text_hash"), word_count(text_col).alias("size"))
         .groupBy("id", "source", "text_hash", "size")
         .agg(F.count(F.lit(1)).alias("k"))
     )
@@ -88,21 +98,14 @@ def allocate(
     t = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     t = t.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     t = t.withColumn("pi", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
-    t = t.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("entries") / BUCKET)).cast("long")).withColumnRenamed("source", "t_source")
-    ranked = entries.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source", "entries", "weight")
-    u = uniform(seed, "id", "source")
-    q = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
-    ranked = ranked.withColumn("t", F.when(F.col("pi") > 0, q / (1 + q)))
-    ranked = ranked.withColumn("bucket", F.least(F.floor(F.col("t") * F.col("buckets")), F.col("buckets") - 1))
-    sums = ranked.where("pi > 0").groupBy("source", "rest", "bucket").agg(F.sum(F.col("size") * F.col("k")).alias("words"))
+    t = t.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("entries") / BUCKET)).cast("long")).drop("entries", "weight")
+    sums = _ranked(entries, t, seed).where("pi > 0").groupBy("source", "rest", "bucket").agg(F.sum(F.col("size") * F.col("k")).alias("words"))
     order = Window.partitionBy("source").orderBy("bucket")
     sums = sums.withColumn("upto", F.sum("words").over(order)).where("upto > rest")
     cut = sums.groupBy("source").agg(F.min("bucket").alias("cut"), F.min_by(F.col("rest") - F.col("upto") + F.col("words"), "bucket").alias("room"))
-    cut = materialize(cut, "mix-cut").withColumnRenamed("source", "c_source")
-    ranked = ranked.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
-    keep = ["id", "source", "text_hash", "size", "k", "source_size", "target", "whole"]
-    taken = F.when(F.col("pi") > 0, F.when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), F.col("k")).otherwise(0)).otherwise(0)
-    clear = ranked.where("pi <= 0 or cut is null or bucket <> cut").select(*keep, taken.cast("long").alias("extra"))
+    cut = cut.withColumnRenamed("source", "c_source")
+    by_source = materialize(t.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "mix-sources")
+    ranked = _ranked(entries, by_source, seed)
     # the one bucket of each source that holds its cut: entries in rank order, each taken as far as it fits
     item = F.struct("t", "id", "text_hash", "size", "k")
     bucket = ranked.where("pi > 0 and bucket = cut").groupBy("source", "source_size", "target", "whole", "room").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -114,7 +117,24 @@ def allocate(
     at_cut = bucket.select(
         F.col("x.items.id").alias("id"), "source", F.col("x.items.text_hash").alias("text_hash"), F.col("x.items.size").alias("size"), F.col("x.items.k").alias("k"), "source_size", "target", "whole", F.col("x.got").alias("extra")
     )
-    return clear.unionByName(at_cut)
+    return ranked, by_source, at_cut
+
+
+def allocate(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """One row per distinct (id, source, text): id, source, text_hash, size, k (equal rows), source_size, target, whole
+    (copies that each of the k gets) and extra (how many of the k get one more)."""
+    ranked, _, at_cut = _allocated(docs, id_col, text_col, source_col, weights, share, most, seed)
+    keep = ["id", "source", "text_hash", "size", "k", "source_size", "target", "whole"]
+    return ranked.where(_CLEAR).select(*keep, (F.col("k") * _clear_extra()).alias("extra")).unionByName(at_cut)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -124,14 +144,38 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as often as it was allotted."""
-    due = allocate(docs, id_col, text_col, source_col, **options).where("whole * k + extra > 0")
-    due = materialize(due, "mix-due").select(F.col("id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("text_hash").alias("_m_hash"), F.col("k").alias("_m_k"), F.col("whole").alias("_m_whole"), F.col("extra").alias("_m_extra"))
-    keyed = docs.withColumn("_d_hash", F.xxhash64(text_of(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_m_id")) & F.col(source_col).eqNullSafe(F.col("_m_source")) & (F.col("_d_hash") == F.col("_m_hash"))
-    joined = keyed.join(due, same)
-    number = F.row_number().over(Window.partitionBy(id_col, source_col, "_d_hash").orderBy("_m_whole"))
-    single = F.when(F.col("_m_k") == 1, F.lit(1)).otherwise(number)
-    copies = F.col("_m_whole") + F.when(single <= F.col("_m_extra"), 1).otherwise(0)
-    return joined.withColumn("_m_copies", copies.cast("int")).where("_m_copies > 0").withColumn("_m_copy", F.explode(F.sequence(F.lit(1), "_m_copies"))).select(*docs.columns)
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """The mix itself: rows of docs with all their columns, each as often as it was allotted. Rows outside the buckets of the cuts need
+    only the figures of their source, so their texts stay where they are; those in them join the few entries there."""
+    _, by_source, at_cut = _allocated(docs, id_col, text_col, source_col, weights, share, most, seed)
+    row, c = unused(docs.columns, "row", "copies")
+    whole = F.struct(*map(quoted, docs.columns)).alias(row)
+    keyed = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("source"), text_hash(F.col(quoted(text_col))).alias("text_hash"), whole)
+    ranked = _ranked(keyed, by_source.select("source", "whole", "pi", "buckets", "cut"), seed)
+    clear = ranked.where(_CLEAR).select(row, (F.col("whole") + _clear_extra()).alias(c))
+    due = materialize(at_cut.select(F.col("id").alias("d_id"), F.col("source").alias("d_source"), F.col("text_hash").alias("d_hash"), "k", "extra"), "mix-at-cut")
+    same = F.col("id").eqNullSafe(F.col("d_id")) & F.col("source").eqNullSafe(F.col("d_source")) & (F.col("text_hash") == F.col("d_hash"))
+    cut = ranked.where(f"not ({_CLEAR})")
+    some = "extra > 0 and extra < k"
+    out = clear.unionByName(cut.join(due.where(f"not ({some})"), same).select(row, (F.col("whole") + (F.col("extra") >= F.col("k")).cast("int") * (F.col("extra") > 0).cast("int")).alias(c)))
+    if not due.where(some).isEmpty():
+        # of k equal rows some get one more: they are numbered within the partitions that read them, then by the partitions' counts
+        rows = cut.join(due.where(some), same).select("id", "source", "text_hash", "whole", "extra", row, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+        rows = materialize(rows, "mix-repeated")
+        key = ["id", "source", "text_hash"]
+        counts = rows.groupBy(*key, "p").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", before).select(*[F.col(x).alias(f"n_{x}") for x in key], F.col("p").alias("n_p"), "before")
+        here = (F.col("p") == F.col("n_p")) & reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"n_{x}")) for x in key])
+        numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key, "p").orderBy("at"))).join(counts, here)
+        out = out.unionByName(numbered.select(row, (F.col("whole") + (F.col("n") + F.col("before") <= F.col("extra")).cast("int")).alias(c)))
+    return out.where(F.col(c) > 0).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(c)))).select(f"{row}.*")
