@@ -4,11 +4,12 @@ A document is a sparse vector: hashed words (normalised counts), one-hot bins of
 capitals, symbols, repeats, line lengths ...) and of metadata columns. The score is the logistic of
 w0 + <w, x> + sum over pairs <v_i, v_j> x_i x_j, the pairs summed in linear time as half of (sum of v x) squared minus the sum of
 squares. It is trained in numpy on a bounded sample of labelled rows (SAMPLE per class at most, the lowest
-by a hash of the id) and applied in one narrow pass over whole texts.
+by a hash of the id, one row an id) and applied in one narrow pass over whole texts. The driver gets the sample's sparse vectors, no texts.
 
 Defined cases: null or empty texts have no words, only structure and metadata bins, and get a score like any other;
-null metadata has a bin of its own; labels that are null are not used; without any label of one class the
-model stays untrained and every score is 0.5. Repeated rows score alike.
+null metadata has a bin of its own, and so has a metadata column that the table lacks; labels that are null are not used;
+without any label of one class the model stays untrained and every score is 0.5. Repeated rows score alike; of rows that share a
+labelled id, the least by text and metadata is learnt from.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, quoted, unused
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 2500
@@ -118,18 +119,34 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _metadata(docs: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The metadata columns as numbers; one that docs lacks is null."""
+    have = {c.lower() for c in docs.columns}
+    return [(F.col(quoted(m)) if m.lower() in have else F.lit(None)).cast("double") for m in names]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: Sequence[str] = ("n_chars",), sample: int = SAMPLE) -> FactorisationMachine:
     """Fits the model on at most `sample` labelled rows of each class that are not held out."""
-    known = labels.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null")
-    first = lambda y: known.where(F.col("_y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    bounded_batches(docs.sparkSession)
+    known = labels.where(~held_out(quoted(id_col))).select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).where("id is not null")
+    first = lambda y: known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = F.broadcast(first(0).unionByName(first(1)))  # at most 2 * sample rows
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metadata)])
-    rows = text.join(chosen, "_id").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_y"], r["_t"] or ""))
+    data = F.struct(F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("t"), F.array(*_metadata(docs, metadata)).cast("array<double>").alias("m"))
+    # rows that share an id fold where they are read, so at most 2 * sample rows and as many texts a task go on
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), data.alias("x")).join(chosen, "id").groupBy("id", "y").agg(F.min("x").alias("x")).select("id", "y", "x.*")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [featurize(t.as_py(), m) for t, m in zip(b.column(2), b.column(3).to_pylist())]
+            columns = [pa.array([i for i, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "y", "i", "v"])
+
+    got = rows.mapInArrow(vectors, f"id {kind}, y int, i array<bigint>, v array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     model = FactorisationMachine.empty(WORDS + BINS * (len(STATISTICS) + len(metadata)))
-    y = np.array([r["_y"] for r in rows])
+    y = got["y"].to_numpy()
     if len(set(y.tolist())) == 2:
-        model.fit([featurize(r["_t"], [r[f"_m{i}"] for i in range(len(metadata))]) for r in rows], y)
+        model.fit([(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(got["i"], got["v"])], y)
     else:
         model.v[:] = 0
     return model
@@ -139,24 +156,26 @@ def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
     """docs with score_col (0..1, higher is better) after its own columns; narrow, one pass."""
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))  # a fixed number of parameters
     schema = docs.select("*", F.lit(0.0).alias(score_col)).schema
-    at, meta = docs.columns.index(text_col), [docs.columns.index(m) for m in metadata]
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    extra = unused(docs.columns, *(f"m{i}" for i in range(len(metadata))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = FactorisationMachine(*shared.value)
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in meta]
+            columns = [c.to_pylist() for c in b.columns[width:]]
             texts = (s.as_py() for s in b.column(at))
             scores = [m.score(*featurize(t, x)) for t, x in zip(texts, zip(*columns) if columns else iter(lambda: (), None))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(scores, pa.float64())], names=[*b.schema.names[:width], score_col])
         _hashes.clear()  # a worker lives on after its task
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.select("*", *[c.alias(n) for c, n in zip(_metadata(docs, metadata), extra)]).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:
     """(id_col, held_out, score, predicted) of every row."""
     model = train(docs, labels, id_col, **options)
-    slim = docs.select(id_col, "text", "n_chars") if not options else docs
-    scored = score(slim, model, options.get("text_col", "text"), options.get("metadata", ("n_chars",)))
-    return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    text, meta = options.get("text_col", "text"), options.get("metadata", ("n_chars",))
+    have = {c.lower() for c in docs.columns}
+    scored = score(docs.select(*map(quoted, dict.fromkeys([id_col, text, *(m for m in meta if m.lower() in have)]))), model, text, meta)
+    return scored.select(quoted(id_col), held_out(quoted(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
