@@ -29,6 +29,8 @@ from .common import bounded_batches, materialize, shared_path
 
 #: Bytes of a record's block; longer ones are segmented. Bytes of a chunk of a body. Records in a file, at most.
 SEGMENT, CHUNK, RECORDS_PER_FILE = 16_384, 4096, 2000
+#: Bytes of an archive that are inflated at a time.
+INFLATED = 1 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
 _DATE = "1970-01-01T00:00:00Z"
@@ -120,29 +122,55 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     return path
 
 
+def _members(archive: bytes) -> Iterator[bytes]:
+    """The plain bytes of an archive, a bounded part at a time."""
+    if archive[:2] != b"\x1f\x8b":
+        yield archive
+        return
+    while archive[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        while not z.eof and archive:
+            yield z.decompress(archive, INFLATED)
+            archive = z.unconsumed_tail
+        archive = z.unused_data
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with names in lower case, block) of each record of a plain or gzip archive, of any number of members."""
-    if archive[:2] == b"\x1f\x8b":
-        plain = []
-        while archive[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            plain.append(z.decompress(archive))
-            archive = z.unused_data
-        archive = b"".join(plain)
-    at = 0
-    while (start := archive.find(b"WARC/1.", at)) >= 0:
-        end = archive.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        lines = archive[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+    """(fields with names in lower case, block) of each record of a plain or gzip archive, of any number of members. Beside the
+    archive as it is, one record and one inflated part are held."""
+    held, at, parts = bytearray(), 0, _members(archive)
+
+    def more() -> bool:
+        nonlocal at
+        part = next(parts, None)
+        if part is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(part)
+        return True
+
+    while True:
+        while (start := held.find(b"WARC/1.", at)) < 0:
+            at = max(at, len(held) - 6)
+            if not more():
+                return
+        at = start
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                return
+        lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         try:
             n = int(fields.get("content-length", ""))
         except ValueError:
             at = end  # a damaged head: the next record is looked for
             continue
-        yield fields, archive[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        at = end + 4
+        while len(held) - at < n and more():
+            pass
+        yield fields, bytes(held[at : at + n])
+        at = min(at + n, len(held))
 
 
 def _payload(block: bytes) -> bytes | None:
@@ -186,9 +214,9 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         columns = dict(zip(b.schema.names, b.columns))
         sizes, digests = columns["payload_bytes"].to_pylist(), columns["payload_digest"].to_pylist()
-        for i, block in enumerate(columns["block"]):
-            if block.is_valid:
-                sizes[i], digests[i] = _measured(_payload(block.as_py()))
+        for i, blocks in enumerate(columns["blocks"]):
+            if blocks.is_valid:
+                sizes[i], digests[i] = _measured(_payload(b"".join(blocks.as_py())))
         keep = [columns[c] for c in ("origin", "type", "page_id", "refers_to", "digest", "copies")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], names=["origin", "type", "page_id", "refers_to", "digest", "copies", "payload_bytes", "payload_digest"])
 
@@ -204,10 +232,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     item = F.struct("number", "copies", *[c for c in columns if c not in ("origin", "number")])
     whole = parts.groupBy("origin").agg(F.array_sort(F.collect_list(item)).alias("s"))
     first = F.col("s")[0]
-    joined = F.aggregate(F.transform("s", lambda x: x["block"]), F.lit("").cast("binary"), lambda a, x: F.concat(a, x))
-    complete = F.transform("s", lambda x: x["number"]).eqNullSafe(F.sequence(F.lit(1), F.size("s"))) & F.element_at("s", -1)["total"].eqNullSafe(F.octet_length(joined).cast("long"))
-    block = F.when(first["number"].isNull(), None).when(complete & (first["type"] == "response"), joined).cast("binary")
-    whole = whole.select("origin", *[first[c].alias(c) for c in ("type", "page_id", "refers_to", "digest", "copies", "payload_bytes", "payload_digest")], block.alias("block"))
+    length = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x["block"]), F.lit(0)))
+    complete = F.transform("s", lambda x: x["number"]).eqNullSafe(F.sequence(F.lit(1), F.size("s"))) & F.element_at("s", -1)["total"].eqNullSafe(length)
+    blocks = F.when(first["number"].isNotNull() & complete & (first["type"] == "response"), F.transform("s", lambda x: x["block"]))
+    whole = whole.select("origin", *[first[c].alias(c) for c in ("type", "page_id", "refers_to", "digest", "copies", "payload_bytes", "payload_digest")], blocks.alias("blocks"))
     schema = "origin string, type string, page_id bigint, refers_to string, digest string, copies bigint, payload_bytes bigint, payload_digest string"
     records = materialize(whole.mapInArrow(_assembled, schema), "warc-records")
     responses = records.where("type <> 'revisit'")
