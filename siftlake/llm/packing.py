@@ -1,15 +1,18 @@
 """Operator 3: best-fit packing of token sequences by hierarchical residual packing.
 
 Every partition tokenises its documents, cuts those over the limit and packs the pieces best-fit decreasing
-into bins. Nearly full bins are final. Underfull bins are merged in a tree: each round deals them, as single items of their fill, into groups
-of a bounded number of bins and packs each group best-fit again, until one group is left or a round no longer helps. Only
-(bin, fill) pairs travel between rounds; pieces learn their sequence by one join at the end.
+into bins, a window of WINDOW tokens at a time, so a task's memory follows the window and the longest text, not the partition.
+Nearly full bins are final. Underfull bins are merged in a tree: each round deals them anew, as single items of their fill, into groups
+of a bounded number of bins and packs each group best-fit again, until one group is left. Where even a fresh deal merges
+less than one bin in a hundred the tree ends early: best fit leaves no two bins of a group that fit into one, so what further rounds could
+still save is a part of that hundredth. Only (bin, fill) pairs travel between rounds; pieces learn their sequence by one join at the end.
 
 Token ids come from the tokenizer file, word by word: the tokenizer encodes each word on its own, so the ids of a
 text are those of its words in order, and a worker keeps the words it has met (CACHE at most).
 
 Defined cases: null text is empty and packs its end-of-text id alone; repeated rows are packed once each; null ids are carried
-along; an empty table gives an empty result; columns other than id and text are not read.
+along; a very long text is cut into pieces like any other; an empty table gives an empty result; columns other than id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, quoted
 
 CAPACITY = 4096
 #: The id that ends each document.
@@ -34,6 +37,8 @@ END = 1
 SLACK = 32
 #: Underfull bins that one group of a round packs, at most (in expectation).
 GROUP = 20_000
+#: Tokens that a task packs at a time.
+WINDOW = 4_000_000
 #: Words kept with their ids by a worker; beyond this the table is dropped and begun anew.
 CACHE = 300_000
 TOKENIZER = "word_bpe_49k.json"
@@ -124,11 +129,24 @@ def best_fit(lengths: Iterable[int], capacity: int = CAPACITY) -> list[tuple[int
     return [(b, at, fills[b]) for b, at in where]
 
 
-def _local(path: str, capacity: int, end: int, with_ids: bool):
+def _local(path: str, capacity: int, end: int, with_ids: bool, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tail = encoder(path), end.to_bytes(4, "little")
         out: list[list] = [[], [], [], [], [], []]
-        kind = None
+        kind, base, held = None, TaskContext.get().partitionId() << 32, 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal base
+            placed = best_fit(out[3], capacity)
+            columns = [pa.array(out[0], kind), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]], *([pa.array(out[5], pa.binary())] if with_ids else [])]
+            columns += [pa.array([base + b for b, _, _ in placed], pa.int64()), pa.array([at for _, at, _ in placed], pa.int64()), pa.array([f for _, _, f in placed], pa.int32())]
+            base += 1 + max(b for b, _, _ in placed)
+            for c in out:
+                c.clear()
+            whole = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
+            for k in range(0, len(whole), 20_000):
+                yield whole.slice(k, 20_000)
+
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, ids in zip(batch.column(0).to_pylist(), words.texts([t or "" for t in batch.column(1).to_pylist()])):
@@ -138,15 +156,12 @@ def _local(path: str, capacity: int, end: int, with_ids: bool):
                     piece = view[k : k + 4 * capacity]
                     for column, value in zip(out, (key, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), bytes(piece) if with_ids else None)):
                         column.append(value)
-        if not out[0]:
-            return
-        base = TaskContext.get().partitionId() << 32
-        placed = best_fit(out[3], capacity)
-        columns = [pa.array(out[0], kind), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]], *([pa.array(out[5], pa.binary())] if with_ids else [])]
-        columns += [pa.array([base + b for b, _, _ in placed], pa.int64()), pa.array([at for _, at, _ in placed], pa.int64()), pa.array([f for _, _, f in placed], pa.int32())]
-        whole = pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
-        for k in range(0, len(whole), 20_000):
-            yield whole.slice(k, 20_000)
+                held += len(ids) // 4
+                if held >= window:
+                    yield from packed()
+                    held = 0
+        if out[0]:
+            yield from packed()
 
     return run
 
@@ -160,23 +175,24 @@ def _merge(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame({"cur": group["cur"], "new": [first[b] for b, _, _ in placed], "add": [at for _, at, _ in placed], "new_fill": [f for _, _, f in placed]})
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, slack: int = SLACK, group: int = GROUP, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, slack: int = SLACK, group: int = GROUP, with_ids: bool = False, window: int = WINDOW) -> DataFrame:
     """One row per piece: (id_col, piece, start, length, ids_crc32, [ids,] sequence_id, offset)."""
     bounded_batches(docs.sparkSession)
-    keys = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    schema = docs.select(id_col).schema.simpleString()[7:-1] + ", piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", bin bigint, at bigint, bin_fill int"
-    pieces = materialize(keys.mapInArrow(_local(path or tokenizer_path(), capacity, end, with_ids), schema), "pack-pieces")
+    keys = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t"))
+    schema = f"id {keys.schema['id'].dataType.simpleString()}" + ", piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", bin bigint, at bigint, bin_fill int"
+    pieces = materialize(keys.mapInArrow(_local(path or tokenizer_path(), capacity, end, with_ids, window), schema), "pack-pieces")
     # where each underfull bin of a partition ends up: (bin, cur, base, fill)
     state = pieces.where(F.col("bin_fill") < capacity - slack).select("bin", F.col("bin").alias("cur"), F.lit(0).cast("long").alias("base"), F.col("bin_fill").alias("fill")).distinct()
     state = materialize(state, "pack-bins")
-    before = None
+    before, rounds = None, 0
     while True:
         items = state.where(F.col("fill") < capacity - slack).select("cur", "fill").distinct()
         n = items.count()
         groups = max(1, -(-n // group))
-        if n < 2 or before is not None and n > 0.95 * before:
+        if n < 2 or before is not None and n > 0.99 * before:
             break
-        dealt = items.withColumn("g", F.pmod(F.hash("cur", F.lit(groups)), F.lit(groups)))
+        rounds += 1
+        dealt = items.withColumn("g", F.pmod(F.xxhash64("cur", F.lit(rounds)), F.lit(groups)))
         merged = dealt.groupBy("g").applyInPandas(lambda g: _merge(g, capacity), "cur bigint, new bigint, add bigint, new_fill int")
         merged = merged.withColumnRenamed("cur", "m_cur")
         state = state.join(merged, F.col("cur") == F.col("m_cur"), "left").select(
@@ -188,5 +204,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             break
     moved = state.select(F.col("bin").alias("s_bin"), "cur", "base")
     return pieces.join(moved, F.col("bin") == F.col("s_bin"), "left").select(
-        id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, F.coalesce("cur", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("base", F.lit(0))).alias("offset")
+        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, F.coalesce("cur", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("base", F.lit(0))).alias("offset")
     )
