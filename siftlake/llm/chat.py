@@ -6,7 +6,8 @@ between `<` and `|` of anything that looks like a control string one more backsl
 The loss mask comes from the segments' lengths: +1 where a learnt segment begins, -1 behind its end, summed up.
 
 Turns are encoded where they lie (one narrow pass); a conversation's tokens are its turns' tokens in order, with offsets from
-a prefix sum. Digests of whole conversations stream over sorted rows and hold one turn at a time, however long a conversation is.
+a prefix sum. Digests of whole conversations read each turn back from its tokens where it lies as well; only the hash of a conversation, which is
+sequential, streams over its sorted turns in one task and holds one turn at a time, however long a conversation is.
 
 Defined cases: null text and null role are empty; turns go by (turn, role, text), null turns first; repeated rows are repeated turns; a
 null conversation id is a conversation. Columns other than these four are not read.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches
+from .common import bounded_batches, quoted
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,45 +81,78 @@ def loss_mask(lengths: list[int], learnt: list[bool]) -> np.ndarray:
     return np.cumsum(edges[:-1]).astype(np.uint8)
 
 
-def assemble(path: str, turns: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, mask) of each (role, text)."""
+def assemble(path: str, turns: list[tuple[str, str]]) -> list[tuple[bytes, bytes]]:
+    """(ids, mask) of each (role, text); ids are little-endian 32-bit, mask is one byte a token. Equal roles are encoded once, and one
+    prefix sum gives the masks of all turns."""
     t = tokenizer(path)
-    segments = [s for role, text in turns for s in (escape_role(role) + "\n", escape(text))]
-    ids = [e.ids for e in t.encode_batch_fast(segments, add_special_tokens=False)]
-    end = t.encode("\n", add_special_tokens=False).ids
+    heads = {r: np.array([START_ID, *t.encode(escape_role(r) + "\n", add_special_tokens=False).ids], "<u4").tobytes() for r in {r for r, _ in turns}}
+    tail = np.array([STOP_ID, *t.encode("\n", add_special_tokens=False).ids], "<u4").tobytes()
+    bodies = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast([escape(text) for _, text in turns], add_special_tokens=False)]
+    lengths = [len(p) // 4 for (r, _), body in zip(turns, bodies) for p in (heads[r], body, tail)]
+    mask = loss_mask(lengths, [x for r, _ in turns for x in (False, r == LEARNT, False)]).tobytes()
+    ends = np.cumsum(lengths)[2::3].tolist()
+    return [(heads[r] + body + tail, mask[i:j]) for (r, _), body, i, j in zip(turns, bodies, [0, *ends], ends)]
+
+
+_LINE_ENDS: dict[str, np.ndarray] = {}
+
+
+def _line_ends(path: str) -> np.ndarray:
+    """Which ids hold a line end."""
+    if path not in _LINE_ENDS:
+        names = tokenizer(path).get_vocab(with_added_tokens=False)
+        _LINE_ENDS[path] = np.zeros(max(*names.values(), START_ID, STOP_ID) + 1, bool)
+        _LINE_ENDS[path][[i for name, i in names.items() if "\u010a" in name]] = True  # as the byte-level vocabulary writes it
+    return _LINE_ENDS[path]
+
+
+def read_back(path: str, turns: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, str, str, int]]:
+    """(role, text, text under the mask, characters of the rendered turn) of each turn's (ids, mask); role and texts unescaped.
+    A head ends with the first line end: those of roles are escaped."""
+    t, line_end = tokenizer(path), _line_ends(path)
+    told: dict[bytes, str] = {}
+
+    def short(ids: np.ndarray) -> str:
+        key = ids.tobytes()
+        if key not in told:
+            told[key] = t.decode(ids.tolist(), skip_special_tokens=False)
+        return told[key]
+
+    cuts = []
+    for ids, _ in turns:
+        stop, head = int(np.argmax(ids == STOP_ID)), int(np.argmax(line_end[ids])) + 1
+        if ids[0] != START_ID or ids[stop] != STOP_ID or not 1 < head <= stop:
+            raise ValueError("not a turn")
+        cuts.append((head, stop))
+    texts = t.decode_batch([ids[head:stop].tolist() for (ids, _), (head, stop) in zip(turns, cuts)], skip_special_tokens=False)
     out = []
-    for i, (role, _) in enumerate(turns):
-        parts = [[START_ID], ids[2 * i], ids[2 * i + 1], [STOP_ID], end]
-        out.append((np.array([x for p in parts for x in p], np.uint32), loss_mask([len(p) for p in parts], [False, False, role == LEARNT, False, False])))
+    for (ids, mask), (head, stop), text in zip(turns, cuts, texts):
+        role, behind, n = short(ids[1:head]), short(ids[stop + 1 :]), int(np.count_nonzero(mask))
+        if n == stop - head and mask[head:stop].all():
+            learnt = text
+        else:
+            learnt = t.decode(ids[mask == 1].tolist(), skip_special_tokens=False) if n else ""
+        plain = unescape(text)
+        out.append((unescape_role(role[:-1]), plain, plain if learnt is text else unescape(learnt), len(START) + len(role) + len(text) + len(STOP) + len(behind)))
     return out
 
 
-def read_back(path: str, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, str]:
-    """(role, text, text under the mask, rendered turn) from a turn's tokens; role and texts unescaped."""
-    t = tokenizer(path)
-    if ids[0] != START_ID or not (stops := np.flatnonzero(ids == STOP_ID)).size:
-        raise ValueError("not a turn")
-    stop = int(stops[0])
-    inner, behind = t.decode(ids[1:stop].tolist(), skip_special_tokens=False), t.decode(ids[stop + 1 :].tolist(), skip_special_tokens=False)
-    role, _, text = inner.partition("\n")
-    learnt = t.decode(ids[mask == 1].tolist(), skip_special_tokens=False)
-    return unescape_role(role), unescape(text), unescape(learnt), START + inner + STOP + behind
-
-
 def format_turns(turns: DataFrame, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per turn: (conv_col, turn_col, role, formatted, ids, mask, n_tokens); ids are little-endian 32-bit, mask one byte
     a token. Narrow."""
     bounded_batches(turns.sparkSession)
     path = path or tokenizer_path()
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = lambda c: F.coalesce(F.col(quoted(c)), F.lit(""))
+    rows = turns.select(F.col(quoted(conv_col)).alias("conv"), F.col(quoted(turn_col)).alias("turn"), given(role_col).alias("role"), given(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)
-                made = assemble(path, list(zip(b.column(2).to_pylist(), b.column(3).to_pylist())))
-                shown = [START + escape_role(r) + "\n" + escape(t) + STOP + "\n" for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-                extra = [pa.array(shown, pa.string()), pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()), pa.array([m.tobytes() for _, m in made], pa.binary()), pa.array([len(i) for i, _ in made], pa.int64())]
+                said = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+                made = assemble(path, said)
+                shown = [START + escape_role(r) + "\n" + escape(t) + STOP + "\n" for r, t in said]
+                extra = [pa.array(shown, pa.string()), pa.array([i for i, _ in made], pa.binary()), pa.array([m for _, m in made], pa.binary()), pa.array([len(m) for _, m in made], pa.int64())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *extra], names=["conv", "turn", "role", "formatted", "ids", "mask", "n_tokens"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -128,17 +162,42 @@ def format_turns(turns: DataFrame, path: str | None = None, conv_col: str = "con
 
 def with_offsets(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """Adds token_start, a turn's first token within its conversation."""
-    order = Window.partitionBy(conv_col).orderBy(F.col(turn_col).asc_nulls_first(), "role", "formatted").rowsBetween(Window.unboundedPreceding, -1)
+    # what formatted says of the text, unescaped and without the end marker, which would sort behind some characters
+    said = F.regexp_replace(F.expr(f"left(formatted, char_length(formatted) - {len(STOP) + 1})"), r"<\\(\\*)\|", "<$1|")
+    order = Window.partitionBy(quoted(conv_col)).orderBy(F.col(quoted(turn_col)).asc_nulls_first(), "role", said).rowsBetween(Window.unboundedPreceding, -1)
     return formatted.withColumn("token_start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
 
 
+def turns_back(formatted: DataFrame, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """One row per turn, read from its tokens: (conv, turn, role, text, learnt (null: the whole text), chars, n_tokens, loss_tokens). Narrow."""
+    path = path or tokenizer_path()
+    rows = formatted.select(F.col(quoted(conv_col)).alias("conv"), F.col(quoted(turn_col)).alias("turn"), "ids", "mask")
+    names = ["conv", "turn", "role", "text", "learnt", "chars", "n_tokens", "loss_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.slice(at, 1000)
+                turns = [(np.frombuffer(i.as_py(), "<u4"), np.frombuffer(m.as_py(), np.uint8)) for i, m in zip(b.column(2), b.column(3))]
+                back = read_back(path, turns)
+                columns = [
+                    pa.array([r for r, *_ in back], pa.string()), pa.array([t for _, t, _, _ in back], pa.string()), pa.array([None if x is t else x for _, t, x, _ in back], pa.string()),
+                    pa.array([n for *_, n in back], pa.int64()), pa.array([len(m) for _, m in turns], pa.int64()), pa.array([int(np.count_nonzero(m)) for _, m in turns], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"conv {kinds['conv']}, turn {kinds['turn']}, role string, text string, learnt string, chars bigint, n_tokens bigint, loss_tokens bigint")
+
+
 def digests(formatted: DataFrame, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """One row per conversation, all of it read back from tokens: (conv_col, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars, n_tokens, loss_tokens)."""
-    path = path or tokenizer_path()
-    kind = formatted.schema[conv_col].dataType.simpleString()
-    rows = formatted.repartition(conv_col).sortWithinPartitions(conv_col, F.col(turn_col).asc_nulls_first(), "role", "formatted").select(conv_col, "ids", "mask")
-    names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
+    turns = turns_back(formatted, path, conv_col, turn_col)
+    kind = turns.schema["conv"].dataType.simpleString()
+    rows = turns.repartition("conv").sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "role", "text")
+    rows = rows.select("conv", "role", "text", "learnt", "chars", "n_tokens", "loss_tokens")
+    names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun, conv_type = None, False, None
@@ -153,25 +212,25 @@ def digests(formatted: DataFrame, path: str | None = None, conv_col: str = "conv
 
         for b in batches:
             conv_type = b.schema.field(0).type
-            for conv, ids, mask in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for conv, role, text, learnt, chars, k, m in zip(*(c.to_pylist() for c in b.columns)):
                 if not begun or conv != now:
                     if begun:
                         done.append((now, n, said.hexdigest(), loss, learnt_sha.hexdigest(), shown, tokens, learnt_tokens))
                     now, begun = conv, True
                     n = loss = shown = tokens = learnt_tokens = 0
                     said, learnt_sha = hashlib.sha256(), hashlib.sha256()
-                m = np.frombuffer(mask.as_py(), np.uint8)
-                role, text, learnt, rendered = read_back(path, np.frombuffer(ids.as_py(), "<u4"), m)
+                learnt = text if learnt is None else learnt
                 said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 learnt_sha.update(learnt.encode("utf-8", "surrogatepass"))
-                n, loss, shown, tokens, learnt_tokens = n + 1, loss + len(learnt), shown + len(rendered), tokens + len(m), learnt_tokens + int(m.sum())
+                n, loss, shown, tokens, learnt_tokens = n + 1, loss + len(learnt), shown + chars, tokens + k, learnt_tokens + m
             yield batch()
             done.clear()
         if begun:
             done.append((now, n, said.hexdigest(), loss, learnt_sha.hexdigest(), shown, tokens, learnt_tokens))
             yield batch()
 
-    return rows.mapInArrow(run, f"{conv_col} {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint")
+    out = rows.mapInArrow(run, f"conv {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint")
+    return out.withColumnRenamed("conv", conv_col)
 
 
 def planted(spark: SparkSession, like: DataFrame) -> DataFrame:
