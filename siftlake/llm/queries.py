@@ -120,16 +120,23 @@ SELECT id AS doc_id, size, source_size, target, (size * (whole + extra))::BIGINT
 _LEAVES = fingerprint.LEAVES.replace("'", "''")
 
 
-def _tree(text: str, prefix: str) -> str:
-    return f"list_transform(string_split({text}, chr(10)), lambda x: sha256(x)) AS {prefix}p, list_distinct(regexp_extract_all({text}, '{_LEAVES}')) AS {prefix}l"
+def _nodes(text: str) -> str:
+    return f"list_transform(string_split({text}, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, '{_LEAVES}'), lambda s: md5(s)), ' '))"
 
 
 def _sections(p: str) -> str:
     return f"list_transform(list_filter(string_split(regexp_replace(array_to_string({p}, ' ') || ' ', '([0-3][0-9a-f]{{63}} )', '\\1|', 'g'), '|'), lambda x: x <> ''), lambda x: sha256(x))"
 
 
+def _below(a: str, b: str) -> str:
+    return f"list_distinct(list_filter(string_split(array_to_string(list_filter({a}, lambda y: NOT list_contains({b}, y)), ' '), ' '), lambda x: x <> ''))"
+
+
 def _like(a: str, b: str) -> str:
-    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+    """By the columns that hold the differing leaves of either side."""
+    both = f"2.0::DOUBLE * coalesce(list_sum(list_transform(list_intersect({a}, {b}), lambda x: (length(x) + 1) // 33)), 0)"
+    rest, common = f"len({a}_{b}) + len({b}_{a})", f"2.0::DOUBLE * len(list_intersect({a}_{b}, {b}_{a}))"
+    return f"CASE WHEN {both} + {rest} = 0 THEN 1.0 ELSE ({both} + {common}) / ({both} + {rest}) END"
 
 
 def _first(a: str, b: str) -> str:
@@ -141,10 +148,12 @@ _OP5 = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM t WINDOW w AS (ORDER BY doc_id ASC NULLS FIRST, t)),
 e AS (SELECT *, length(t)::BIGINT AS n_chars, substr(t, 1, length(t) - length(t) // 4) || substr(nt, 1, length(t) // 4) AS edited FROM n),
-d AS (SELECT *, {_tree("t", "o")}, {_tree("edited", "e")}, list_distinct(regexp_extract_all(nt, '{_LEAVES}')) AS nl FROM e),
+m AS (SELECT doc_id, n_chars, edited, {_nodes("t")} AS o, {_nodes("edited")} AS e, {_nodes("nt")} AS x FROM e),
+d AS (SELECT *, list_transform(o, lambda p: sha256(p)) AS op, list_transform(e, lambda p: sha256(p)) AS ep,
+  {_below("o", "e")} AS o_e, {_below("e", "o")} AS e_o, {_below("o", "x")} AS o_x, {_below("x", "o")} AS x_o FROM m),
 s AS (SELECT *, {_sections("op")} AS os, {_sections("ep")} AS es FROM d)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, sha256(array_to_string(os, ' ')) AS fingerprint, sha256(array_to_string(es, ' ')) AS edited_fingerprint,
-  {_like("ol", "el")} AS near_edited, {_like("ol", "nl")} AS near_next, {_first("os", "es")} AS first_section, {_first("op", "ep")} AS first_paragraph
+  {_like("o", "e")} AS near_edited, {_like("o", "x")} AS near_next, {_first("os", "es")} AS first_section, {_first("op", "ep")} AS first_paragraph
 FROM s
 """
 
