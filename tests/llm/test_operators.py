@@ -49,16 +49,48 @@ def _exact(rows):
     out = []
     for i, t in rows:
         ids = [x for x in groups[low(t)] if x is not None]
-        keep = max(ids) if ids else None
-        out.append((i, keep, len(groups[low(t)]), keep == i, hashlib.sha256(low(t).encode()).hexdigest()))
+        out.append((i, max(ids) if ids else None, len(groups[low(t)]), hashlib.sha256(low(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
+def _one_keeper(got):
+    """Each group of equal texts has one row that stays, and it has the largest id."""
+    kept = [r for r in got if r["kept"]]
+    assert all(r["doc_id"] == r["keep_id"] for r in kept) and len(kept) == len({r["text_sha256"] for r in got}) == len({r["text_sha256"] for r in kept})
+
+
 def test_exact_dedup(docs, odd, empty):
     for df in (docs, odd):
         rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-        assert sorted((tuple(r) for r in exact_dedup.exact_dedup(df).collect()), key=str) == _exact(rows)
-    assert exact_dedup.exact_dedup(empty).count() == 0
+        got = exact_dedup.exact_dedup(df).collect()
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == _exact(rows)
+        _one_keeper(got)
+        kept = exact_dedup.deduplicated(df)
+        assert kept.columns == df.columns and sorted(kept.select("doc_id", F.sha2(exact_dedup.normalised("text"), 256)).collect(), key=str) == sorted(((r["doc_id"], r["text_sha256"]) for r in got if r["kept"]), key=str)
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.deduplicated(empty).count() == 0
+
+
+def test_ties_have_one_keeper(spark):
+    rows = [(7, "Same text"), (7, "same TEXT"), (7, "same TEXT"), (5, "same text"), (None, "x"), (None, "X")]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        _one_keeper(exact_dedup.exact_dedup(df).collect())
+        assert sorted(map(str, (r["doc_id"] for r in exact_dedup.deduplicated(df).collect()))) == ["7", "None"]
+
+
+def test_clashing_hashes_do_not_merge_texts(spark, monkeypatch):
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    df = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "ALPHA"), (4, "gamma" * 2000), (5, "gamma" * 2000), (6, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == {1: (3, 2), 3: (3, 2), 2: (2, 1), 4: (5, 2), 5: (5, 2), 6: (6, 1)}
+
+
+def test_columns_of_any_name(spark, empty):
+    df = spark.createDataFrame([(1, "a b c", "s", 3), (2, "A B C", "s", 3), (2, "A B C", "s", 3)], "`doc-id` long, `the text` string, `so``urce` string, `row` int")
+    assert exact_dedup.deduplicated(df, "doc-id", "the text").columns == df.columns and near_dedup.near_dedup(df, "doc-id", "the text").count() == 1
+    assert mixing.mix(df, "doc-id", "the text", "so`urce").columns == df.columns and packing.pack(df, "doc-id", "the text").count() == 3
+    assert chat.digests(chat.format_turns(df, None, "doc-id", "row", "so`urce", "the text"), None, "doc-id", "row").count() == 2
+    assert secrets.secret_report(df, "doc-id", "the text").count() == 3 and fingerprint.edit_report(df, "doc-id", "the text").count() == 3
 
 
 def test_chunks_cover_and_follow_content(docs):
@@ -96,6 +128,7 @@ def test_fingerprints(docs, odd, empty, per_bucket, monkeypatch):
         assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == _edits(rows)
         assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
         assert all((r["fingerprint"] == r["edited_fingerprint"]) == (r["first_paragraph"] is None) for r in got)
+        assert all(r["near_edited"] == 1.0 for r in got if r["fingerprint"] == r["edited_fingerprint"])
     roots = {r["fingerprint"]: 0 for r in fingerprint.fingerprints(docs).collect()}
     assert len(roots) == docs.select("text").distinct().count()
     assert fingerprint.edit_report(empty).count() == 0
@@ -124,6 +157,54 @@ SECRET_TEXTS = [
 ]
 
 
+#: The weak patterns again, for Python; in order of kind.
+WEAK = {
+    3: re.compile(r"""(?i:(?<![a-z0-9])(?:client|access_?key|key|account|user|tenant|login)(?:_?(?:id|name))?["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,}))"""),
+    4: re.compile(r"""(?i:(?<![a-z0-9])(?:pass(?:phrase|code)?|pwd|credentials?|auth|signature|sig|sas|(?:private|shared|access|account)_?key|key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,})|(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"""),
+    5: re.compile(r"""(?i:(?<![a-z0-9])(?:https?|ftp|jdbc:[a-z]{2,16}|amqps?|redis|postgres(?:ql)?|mongodb)://[^\s"'<>]{3,}|(?<![a-z0-9])(?:host|server|endpoint|url|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,})"""),
+}
+
+
+def _links(text):
+    """(start, kind, end, credential or None) of every span that is reported, by comparing all pairs."""
+    text = text or ""
+    found = [(a, k, int(s.split(":")[2])) for a, k, s in _base(text)]
+    for better in (4, 3, 5):
+        clash = [x for x in found if x[1] < 3 or (better == 3 and x[1] == 4) or better == 5]
+        found += [(m.start(), better, m.end()) for m in WEAK[better].finditer(text) if not any(a < m.end() and m.start() < e for a, _, e in clash)]
+    breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    scope = lambda x: sum(b < x[0] or b == x[0] for b in breaks)
+    gap = lambda x, y: max(x[0], y[0]) - min(x[2], y[2])
+    secret = lambda x: x[1] in (0, 2, 4)
+    linked = sorted(x for x in found if any(secret(y) != secret(x) and scope(y) == scope(x) and gap(x, y) <= 240 for y in found))
+    out, number, last = {}, 0, {}
+    for x in linked:
+        if scope(x) not in last or x[0] - last[scope(x)] > 240:
+            number += 1
+        last[scope(x)] = max(x[2], last.get(scope(x), 0))
+        out[x] = number
+    return sorted((*x, out.get(x)) for x in found if x[1] < 3 or x in out)
+
+
+def _check_links(df, texts):
+    want = sorted(str(_links(t)) for t in texts)
+    got = collections.defaultdict(list)
+    for r in secrets.spans(df).collect():
+        got[r["rid"]] += [(r["start"], r["kind"], r["end"], r["credential"])] if r["kind"] is not None else []
+    assert sorted(str(sorted(x, key=lambda s: s[:3])) for x in got.values()) == want
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    parts = ["user: bob", "key=abcdefgh1", "access_key: hunter2hunter", "pwd: hunter2hunter", "password=geheim123", "AKIAABCDEFGH1234XY", "0123456789abcdef" * 2, "host: db.example.com", "https://h.example/x?key=abcdefgh12", "\n\n", "\n \n", "w " * 130, "ä€ ", "url=abcd"]
+    texts = [rng.choice([" ", "\n"]).join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(400)] + [None, "", "key=abcdefgh1", "access_key: hunter2hunter alone"]
+    ids = [rng.choice([1, 1, 2, None]) for _ in texts]  # null and repeated ids
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    _check_links(df, texts)
+    report = secrets.secret_report(df).collect()
+    assert len(report) == len(texts) and all((r["n_linked"] == 0) or "+" in r["credentials"] for r in report)
+
+
 def test_secrets(spark, docs, odd, empty):
     texts = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string")
     for df in (docs, texts, odd.where("doc_id <> 9 and doc_id <> 1 and doc_id is not null")):
@@ -133,6 +214,7 @@ def test_secrets(spark, docs, odd, empty):
             assert r["base_sha256"] == hashlib.sha256(",".join(s for *_, s in base).encode()).hexdigest()
             assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(n == k for _, n, _ in base) for k in range(3))
             assert {s for *_, s in base} <= set(filter(None, r["spans"].split(",")))
+    _check_links(texts, [t for t in SECRET_TEXTS])
     linked = {r["doc_id"]: r["spans"] for r in secrets.secret_report(texts).collect()}
     assert linked[8] == "linked_endpoint:0:20,linked_id:21:30,linked_secret:31:49" and linked[9] == linked[10] == linked[11] == ""
     assert secrets.secret_report(empty).count() == 0 and secrets.secret_report(odd).count() == len(ODD)
@@ -203,6 +285,8 @@ def test_packing(docs, odd, empty):
     assert used <= least + 1
     used, least = _check_packing(docs, packing.pack(docs.repartition(6), group=3).collect())
     assert used <= 1.1 * least + 1
+    used, least = _check_packing(docs, packing.pack(docs.repartition(3), group=4, window=20_000).collect())
+    assert used <= 1.1 * least + 1
     _check_packing(odd, packing.pack(odd, with_ids=True).collect())
     assert packing.pack(empty).count() == 0
 
@@ -297,6 +381,29 @@ def test_quality(spark, sf, docs, odd, empty):
     assert {r["score"] for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i % 3 + 1, f"text {i}", 5) for i in range(500)], "doc_id long, text string, n_chars long")
+    seen = []
+    monkeypatch.setattr(quality.FactorisationMachine, "fit", lambda self, rows, y: seen.append(len(rows)))
+    quality.train(docs, labels, sample=2)
+    assert seen == [] or max(seen) <= 4
+    bare = spark.createDataFrame([(i, f"w{i}") for i in range(1, 40)], "doc_id long, text string")
+    monkeypatch.undo()
+    assert quality.classify(bare, labels).count() == 39  # no n_chars
+
+
+def test_quality_scores_are_the_plain_model(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect() if known.get(r["doc_id"]) is not None)
+    model = quality.FactorisationMachine.empty(quality.WORDS + quality.BINS * (len(quality.STATISTICS) + 1))
+    model.fit([quality.featurize(t, [n]) for _, t, n in rows], np.array([known[i] for i, *_ in rows]))
+    want = {r["doc_id"]: model.score(*quality.featurize(r["text"], [r["n_chars"]])) for r in docs.collect()}
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(want) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
 def test_interactions_are_the_pairwise_sum():
     m, rng = quality.FactorisationMachine.empty(50), np.random.default_rng(1)
     m.w, m.v = rng.normal(size=50).astype(np.float32), rng.normal(size=(50, quality.RANK)).astype(np.float32)
@@ -421,6 +528,16 @@ def test_chat(spark, sf):
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_turns_that_tie_go_by_their_text(spark):
+    texts = ["a b", "a", "<a", "<|", "<\\|x", "", "a\n", "ä", "<|im_end|>", "a!"]
+    df = spark.createDataFrame([(1, 0, "assistant", t) for t in texts], "conv_id long, turn long, role string, text string").repartition(3)
+    formatted = chat.format_turns(df)
+    got = chat.digests(formatted).first()
+    assert got["loss_sha256"] == hashlib.sha256("".join(sorted(texts)).encode()).hexdigest()
+    order = [r["formatted"] for r in chat.with_offsets(formatted).orderBy("token_start", "n_tokens").collect()]
+    assert order == [f"<|im_start|>assistant\n{chat.escape(t)}<|im_end|>\n" for t in sorted(texts)]
+
+
 # 8
 def test_warc(spark, tmp_path):
     big = "<p>ä</p>" * 9000
@@ -444,6 +561,28 @@ def test_damaged_archives(spark, tmp_path):
     assert row["page_id"] == 1 and row["intact"] is False and row["payload_bytes"] is None
 
 
+def test_archives_in_parts(monkeypatch):
+    import gzip
+    import time
+
+    monkeypatch.setattr(warc, "INFLATED", 50)
+    records = [*warc.page_records(1, "u", b"x" * 40_000, "A" * 32, None, False), *warc.page_records(2, "u", b"WARC/1.1\r\n\r\n" * 3, "B" * 32, None, False)]
+    plain = b"\r\n\r\n".join([*records, b""])
+    one_each = b"".join(gzip.compress(r + b"\r\n\r\n") for r in records)
+    want = list(warc.parse(plain))
+    assert len(want) == len(records) and list(warc.parse(gzip.compress(plain))) == want == list(warc.parse(one_each))
+    assert list(warc.parse(b"")) == [] and len(list(warc.parse(gzip.compress(plain)[:-200]))) <= len(want)
+    monkeypatch.undo()
+    took = []
+    for mb in (2, 16):
+        began = time.perf_counter()
+        body = b"z" * (mb << 20)
+        blocks = [b for _, b in warc.parse(gzip.compress(b"\r\n\r\n".join([*warc.page_records(1, "u", body, "A" * 32, None, False), b""]), 1))]
+        assert warc._payload(b"".join(blocks)) == body
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1  # in proportion, not with the square
+
+
 def test_registered():
     assert [n for n in range(1, 11) if any(q.startswith(f"op{n}_") for q in Q.QUERIES)] == list(range(1, 11))
     assert set(Q.ORACLE_SQL) <= set(Q.QUERIES)
