@@ -10,20 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import exact_dedup, mixing, near_dedup, packing, quality
-from siftlake.llm.common import materialize, table
+from siftlake.llm.common import materialize, quoted, table, unused
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier scores at its threshold or above. One narrow pass."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, score_col="_quality_score")
-    return scored.where(F.col("_quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = unused(docs.columns, "quality_score")
+    return quality.score(docs, model, score_col=score).where(F.col(score) >= quality.THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts: the one with the largest id."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_sha")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.sha2(exact_dedup.normalised("text"), 256) == F.col("_sha")), "left_semi")
+    return exact_dedup.deduplicated(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
