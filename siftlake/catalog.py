@@ -7,17 +7,19 @@ by their size.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import os
 import stat
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import rules
+from .functions.patterns import fault
 from .functions.text import norm_text
 
 DELIMITER = "::"
@@ -43,9 +45,9 @@ class Rule:
 class Catalog:
     rules: tuple[Rule, ...]
     stopwords: dict[str, frozenset[str]] = field(default_factory=dict)
-    #: Patterns in a line and strings in its lower case, one of which any regexp or field rule needs; None if that isn't known.
-    hints: tuple[tuple[str, ...], tuple[str, ...]] | None = None
     warnings: tuple[str, ...] = ()
+    #: (name, short digest) of the rule files that it comes from.
+    sources: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self) -> None:
         seen: dict[str, str] = {}
@@ -59,7 +61,7 @@ class Catalog:
         return [(i, r) for i, r in enumerate(self.rules) if r.kind == kind and (not scope or r.scope == scope)]
 
     def only(self, *kinds: str) -> Catalog:
-        return Catalog(tuple(r for r in self.rules if r.kind in kinds), self.stopwords, self.hints, self.warnings)
+        return Catalog(tuple(r for r in self.rules if r.kind in kinds), self.stopwords, self.warnings, self.sources)
 
     def words(self) -> list[tuple[int, str, int, str]]:
         """(place, name, severity, value) of lexicon entries without a space."""
@@ -79,10 +81,17 @@ def clamp(krit: int) -> int:
 
 
 def infer_scope(regex: str) -> str:
-    """Of a rule without a stated scope: a pattern with white space cannot match within a token."""
+    """Of a rule that is given without a scope: a pattern with white space cannot match within a token."""
     return "line" if any(w in regex for w in ("\\s", " ", "\\t", "\t")) else "token"
 
 
+def from_tuples(regexps: Iterable[tuple], fields: Iterable[tuple] = (), lexicons: Iterable[tuple[str, int, Iterable[str]]] = (), minlen: int = 4) -> Catalog:
+    """A catalog from (name, severity, description, pattern[, scope]), the same with an offset for fields, and (name, severity, words)."""
+    found = [Rule(r[0], "regexp", clamp(r[1]), r[2], r[3], r[4] if len(r) > 4 else infer_scope(r[3])) for r in regexps]
+    found += [Rule(r[0], "field", clamp(r[1]), r[2], r[3], offset=r[4] if len(r) > 4 else 1) for r in fields]
+    return Catalog(tuple(found + [Rule(n, "string", clamp(k), values=lexicon_values(w, minlen)) for n, k, w in lexicons]))
+
+
 def lexicon_values(entries: Iterable[str], minlen: int) -> frozenset[str]:
     return frozenset(norm_text(e.strip()) for e in entries if len(e.strip()) >= minlen)
 
@@ -90,23 +99,31 @@ def lexicon_values(entries: Iterable[str], minlen: int) -> frozenset[str]:
 @cache
 def shipped(minlen: int = 4) -> Catalog:
     """The catalog that comes with the package."""
-    found = [Rule(n, "regexp", k, d, rx, s) for n, k, d, rx, s in rules.REGEXP_RULES]
-    found += [Rule(n, "field", k, d, rx, offset=o) for n, k, d, rx, o in rules.FIELD_RULES]
-    found += [Rule(n, "string", k, values=lexicon_values(v, minlen)) for n, k, v in rules.LEXICONS]
-    return Catalog(tuple(found), {k: frozenset(map(norm_text, v)) for k, v in rules.STOPWORDS.items()}, (tuple(rules.LINE_HINTS), tuple(rules.LOWER_HINTS)))
+    return replace(from_tuples(rules.REGEXP_RULES, rules.FIELD_RULES, rules.LEXICONS, minlen), stopwords={k: frozenset(map(norm_text, v)) for k, v in rules.STOPWORDS.items()})
+
+
+#: Seconds that a pattern may take on the probe, and the probe.
+PROBE_SECONDS, PROBE = 2.0, "a" * 1000
 
 
-def java_checker(spark: SparkSession) -> Callable[[str], str | None]:
-    """Says what is wrong with a pattern, as the executors' engine sees it."""
+def unfit(regex: str) -> str | None:
+    """What is wrong with a pattern: it doesn't compile, or takes too long on a plain text."""
+    if said := fault(regex):
+        return said
+    import regex as engine
 
-    def check(regex: str) -> str | None:
-        try:
-            spark._jvm.java.util.regex.Pattern.compile("(?U)" + regex)
-        except Exception as e:  # noqa: BLE001  py4j wraps whatever the engine says
-            return str(e).splitlines()[0]
-        return None
+    try:
+        engine.search(regex, PROBE, timeout=PROBE_SECONDS)
+    except TimeoutError:
+        return f"{regex}: too slow"
+    except engine.error as e:
+        return f"{regex}: {e}"
+    return None
 
-    return check
+
+def provenance(text: str) -> str:
+    """A short digest that names a rule file's state."""
+    return hashlib.sha256(text.encode()).hexdigest()[:12]
 
 
 def open_rule_file(path: str | Path) -> str:
@@ -138,12 +155,20 @@ def parse(
     lexicon_dir: str | Path | None = None,
     stopwords: dict[str, str] | None = None,
     minlen: int = 4,
-    check: Callable[[str], str | None] = lambda regex: None,
+    check: Callable[[str], str | None] = unfit,
 ) -> Catalog:
     """A catalog from the text of rule files: name::severity::description::pattern[::scope], the same with [::offset] for fields,
-    name::severity::file for lexicons. Faulty lines are left out with a warning; a name declared twice is an error."""
+    name::severity::file for lexicons. Faulty lines are left out with a warning, severities out of range are clamped with one; a name declared
+    twice is an error."""
     found: list[Rule] = []
     warned: list[str] = []
+    sources: list[tuple[str, str]] = [(n, provenance(t)) for n, t in (("regexp", regexp), ("field", fields), ("lexicons", lexicons)) if t]
+
+    def severity(line: str, text: str) -> int:
+        if clamp(int(text)) != int(text):
+            warned.append(f"{line}: severity taken as {clamp(int(text))}")
+        return clamp(int(text))
+
     for kind, text in (("regexp", regexp), ("field", fields)):
         for line, p in _parts(text):
             try:
@@ -153,25 +178,27 @@ def parse(
                     raise ValueError(wrong)
                 if kind == "regexp":
                     scope = p[4] if len(p) > 4 and p[4] in ("token", "line") else "line"
-                    found.append(Rule(p[0], kind, clamp(int(p[1])), p[2], p[3], scope))
+                    found.append(Rule(p[0], kind, severity(line, p[1]), p[2], p[3], scope))
                 else:
                     offset = int(p[4]) if len(p) > 4 and p[4] else 1
                     if offset < 0:
                         raise ValueError("a negative offset")
-                    found.append(Rule(p[0], kind, clamp(int(p[1])), p[2], p[3], offset=offset))
+                    found.append(Rule(p[0], kind, severity(line, p[1]), p[2], p[3], offset=offset))
             except ValueError as e:
                 warned.append(f"{line}: {e}")
     for line, p in _parts(lexicons):
         path = within(lexicon_dir or ".", p[2]) if len(p) > 2 else None
         values: frozenset[str] = frozenset()
         if path is not None and path.is_file():
-            rows = list(csv.reader(io.StringIO(open_rule_file(path))))[1:]
+            content = open_rule_file(path)
+            sources.append((p[2], provenance(content)))
+            rows = list(csv.reader(io.StringIO(content)))[1:]
             values = lexicon_values((r[0] for r in rows if r), minlen)
         else:
             warned.append(f"{line}: no such lexicon")
         try:  # the name counts as declared even without entries
-            found.append(Rule(p[0], "string", clamp(int(p[1])), values=values))
+            found.append(Rule(p[0], "string", severity(line, p[1]), values=values))
         except (ValueError, IndexError) as e:
             warned.append(f"{line}: {e}")
     words = {k: frozenset(norm_text(w.strip()) for w in v.splitlines() if w.strip()) for k, v in (stopwords or {}).items()}
-    return Catalog(tuple(found), words, None, tuple(warned))
+    return Catalog(tuple(found), words, tuple(warned), tuple(sources))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import configparser
 from dataclasses import asdict, dataclass, fields, replace
 
+#: Fixed value: the mask of reports.
 DEFAULT_MASK = "sss**sss**sss**"
 _CHOICES = {
     "parse_json": ("auto", "true", "false"),
@@ -16,12 +17,12 @@ _CHOICES = {
 _LEAST = {
     "examplecount": 1, "minlen": 2, "critical": 1, "max_line_bytes": 1024, "max_total_findings": 1, "max_total_examples": 1,
     "max_values_per_pattern": 1, "max_examples_per_value": 1, "masked_value_criticality": 1,
+    "regex_timeout_ms": 1, "regex_disable_threshold": 1,
 }
 _ALIASES = {"search_feld": "search_field", "max_examples": "max_examples_per_value"}
 #: Settings of a single-machine scheduler that have no meaning on a cluster; accepted and ignored.
 _IGNORED = {
-    "workers", "refresh_status", "nocolor", "verbose", "regex_timeout_ms", "regex_disable_threshold", "max_auto_workers",
-    "multiprocessing_min_total_bytes", "multiprocessing_min_file_count",
+    "workers", "refresh_status", "nocolor", "verbose", "max_auto_workers", "multiprocessing_min_total_bytes", "multiprocessing_min_file_count",
 }
 
 
@@ -38,6 +39,8 @@ def json_mode(value: object) -> str:
 
 @dataclass(frozen=True)
 class ScanConfig:
+    """Names and defaults of the settings."""
+
     examplecount: int = 10
     minlen: int = 4
     critical: int = 5
@@ -65,6 +68,8 @@ class ScanConfig:
     encoding: str = "auto"
     encoding_errors: str = "replace"
     follow_input_symlinks: bool = False
+    regex_timeout_ms: int = 100
+    regex_disable_threshold: int = 5
 
     def __post_init__(self) -> None:
         put = lambda k, v: object.__setattr__(self, k, v)

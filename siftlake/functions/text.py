@@ -56,6 +56,7 @@ def looks_like_path(c: Column) -> Column:
     return c.rlike(r"^(?:/[^\n]*/|~/|\\\\|[A-Za-z]:[\\/])")
 
 
+#: Fixed value: what stands for a value that is masked already.
 MASK = r"^(?:\*{2,}|x{3,}|[<\[]\s*(?:redacted|masked|hidden|removed|sanitized|filtered|secret|xxxx+)\s*[>\]]|(?:redacted|masked|hidden|removed|sanitized|filtered))$"
 
 

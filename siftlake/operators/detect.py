@@ -1,48 +1,27 @@
 """Detection: lines to candidates to decided findings, in one narrow pass.
 
-Every rule is a literal of the plan. The hits of all families are arrays of one struct type, joined and exploded once, so a line is
-tokenized once and nothing is shuffled. Large lexicons come by a join instead.
+Candidates come from one Arrow pass over the lines (operators.engine), which shuffles nothing; validation, decisions and contexts are
+Columns over the few hits. Lexicons beyond UNROLLED_WORDS come by a join instead.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import rules
 from ..catalog import Catalog
 from ..config import ScanConfig
 from ..functions import text as X
 from ..functions import validators as V
-from .tokenize import inline_pair, tokens
+from .engine import HIT, TIMED_OUT, TOKEN, Spec, scanner
+from .tokenize import tokens
 
-#: A lexicon of more single words than this is joined as a table and not unrolled into the plan.
-UNROLLED_WORDS = 5000
-_HIT = "array<struct<stage:int,pos:int,family:int,ord:int,value:string,token:string,start:int,end:int>>"
-#: Place of a hit that is yet to be looked for in its line.
-_UNKNOWN = -2
-
-
-def _hit(stage: int, pos: Column, family: int, ord_: int | Column, value: Column, token: Column | None = None, start: Column | None = None, end: Column | None = None) -> Column:
-    """A small struct: what can be derived from the line is added after the explode, for hits only."""
-    as_int = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("int")
-    return F.struct(
-        as_int(stage).alias("stage"), as_int(pos).alias("pos"), as_int(family).alias("family"), as_int(ord_).alias("ord"), value.alias("value"),
-        (F.lit(None) if token is None else token).cast("string").alias("token"), as_int(_UNKNOWN if start is None else start).alias("start"), as_int(_UNKNOWN if end is None else end).alias("end"),
-    )
-
-
-def _none() -> Column:
-    return F.array().cast(_HIT)
-
-
-def _all(hits: list[Column]) -> Column:
-    return F.concat(*hits) if hits else _none()
+#: A lexicon of more single words than this is joined as a table and does not travel with the plan.
+UNROLLED_WORDS = 50_000
 
 
 def _stop(catalog: Catalog, kind: str, c: Column) -> Column:
@@ -50,87 +29,18 @@ def _stop(catalog: Catalog, kind: str, c: Column) -> Column:
     return c.isin(sorted(words)) if words else F.lit(False)
 
 
-def line_hits(line: Column, catalog: Catalog) -> list[Column]:
-    """All matches of line rules, as they stand, with the lengths before them."""
-
-    def of_rule(i: int, rx: str) -> Column:
-        raw, gaps = F.regexp_extract_all(line, F.lit(rx), F.lit(0)), F.transform(F.split(line, rx, -1), lambda g: F.char_length(g))
-
-        def one(x: Column, n: Column) -> Column:
-            before = F.aggregate(F.slice(F.arrays_zip(gaps.alias("g"), raw.alias("r")), 1, n), F.lit(0), lambda a, y: a + y["g"] + F.char_length(y["r"]))
-            start = before + F.get(gaps, n)
-            return _hit(0, n, 0, i, x, None, start, start + F.char_length(x))
-
-        return F.when(line.rlike(rx), F.transform(raw, one)).otherwise(_none())
-
-    return [of_rule(i, "(?U)" + r.regex) for i, r in catalog.of("regexp", "line")]
-
-
-def token_hits(long: Column, catalog: Catalog) -> list[Column]:
-    """The first match of token rules in each token."""
-
-    def of_rule(i: int, rx: str) -> Column:
-        return F.transform(F.filter(long, lambda t: t["t"].rlike(rx)), lambda t: _hit(2, t["i"], 0, i, F.regexp_extract(t["t"], rx, 0), t["t"]))
-
-    return [of_rule(i, "(?U)" + r.regex) for i, r in catalog.of("regexp", "token")]
-
-
-def field_hits(words: Column, keys: Column, catalog: Catalog) -> list[Column]:
-    """Values behind key tokens: within the token, or within the next few tokens."""
-
-    def of_rule(i: int, rx: str, offset: int) -> Column:
-        def one(t: Column) -> Column:
-            ahead = F.filter(F.slice(words, t["i"] + offset + 1, rules.LOOKAHEAD), lambda w: ~w.isin(rules.FIELD_SEPARATORS) & (X.unwrap(w) != ""))
-            value = X.unwrap(F.get(ahead, F.lit(0)))
-            if offset == 1:
-                value = F.when(t["p"]["key"].rlike(rx), t["p"]["value"]).otherwise(value)
-            return _hit(2, t["i"], 1, i, value, t["t"])
-
-        return F.transform(F.filter(keys, lambda t: t["t"].rlike(rx)), one)
-
-    return [of_rule(i, "(?U)" + r.regex, r.offset) for i, r in catalog.of("field")]
-
-
-def _no_word(catalog: Catalog, n: Column) -> Column:
-    return _stop(catalog, "search", n) | n.isin(rules.TECHNICAL_TERMS)
-
-
-def word_hits(indexed: Column, catalog: Catalog) -> list[Column]:
-    """Tokens whose normal form is in a lexicon."""
-
-    def of_rule(i: int, values: list[str]) -> Column:
-        return F.transform(F.filter(indexed, lambda t: t["n"].isin(values) & ~_no_word(catalog, t["n"])), lambda t: _hit(2, t["i"], 2, i, t["t"]))
-
-    lexicons = [(i, sorted(v for v in r.values if " " not in v)) for i, r in catalog.of("string")]
-    return [of_rule(i, values) for i, values in lexicons if values]
-
-
-def _origin(line: Column, at: Column) -> Column:
-    """The line's character that gave the character `at` of its normal form."""
-    lengths = F.transform(F.split(line, ""), lambda c: F.char_length(X.norm(c)))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
-    step = lambda a, x: F.struct((a["n"] + x).alias("n"), (a["i"] + 1).alias("i"), F.when((a["at"] < 0) & (a["n"] + x > at), a["i"]).otherwise(a["at"]).alias("at"))
-    same = F.char_length(X.norm(line)) == F.char_length(line)
-    return F.when(same, at).otherwise(F.aggregate(lengths, start, step)["at"])
-
-
-def phrase_hits(low: Column, catalog: Catalog) -> list[Column]:
-    """Entries of several words: the first place in the line's normal form (low) with no letter or digit on either side."""
-    out = []
-    for i, _, _, phrase in catalog.phrases():
-        if phrase in catalog.stopwords.get("search", ()):
-            continue
-        rx = rf"(?<![\p{{L}}\p{{N}}]){re.escape(phrase)}(?![\p{{L}}\p{{N}}])"
-        at = F.regexp_instr(low, F.lit(rx)) - 1
-        out.append(F.when(F.contains(low, F.lit(phrase)) & low.rlike(rx), F.array(_hit(1, F.lit(0), 2, i, F.lit(phrase), None, at, at + len(phrase)))).otherwise(_none()))
-    return out
+def _plain_markers() -> list[str]:
+    """The pre-filter's markers, without those that hold another one: whatever holds them holds that."""
+    return [m for m in rules.PREFILTER_MARKERS if not any(o != m and o in m for o in rules.PREFILTER_MARKERS)]
 
 
 def passes_prefilter(line: Column, mode: str, catalog: Catalog) -> Column:
     """The coarse pre-filter of modes regexp_field and all. It may lose findings; off loses none."""
     if mode == "off":
         return F.lit(True)
-    ok = line.rlike(r"\d{5}") | F.lower(line).rlike("|".join(map(re.escape, rules.PREFILTER_MARKERS)))
+    low = F.lower(line)
+    # most markers hold one of a few common stems; strings are looked for one by one, which is faster than their alternation
+    ok = reduce(lambda a, m: a | F.contains(low, F.lit(m)), _plain_markers(), line.rlike(r"\d{5}"))
     if mode == "all":
         values = sorted({v for _, _, _, v in catalog.words() + catalog.phrases()})
         parts = F.regexp_extract_all(F.lower(line), F.lit(r"(?U)[^\s?&=,;|]+"), F.lit(0))
@@ -145,107 +55,59 @@ def _per_rule(catalog: Catalog, get) -> Column:
     return F.element_at(F.array(*[F.lit(get(r)) for r in catalog.rules]), F.col("ord") + 1)
 
 
-def worth_a_look(line: Column, forms: Column, catalog: Catalog) -> Column:
-    """False for lines in which no rule of the catalog can match, given the line's forms (struct<lower, norm>). Loses nothing: what
-    rules need is known (catalog.hints), and lexicon words are tokens of the normal form unless the line holds escapes, URLs or JSON."""
-    words = sorted({v for _, _, _, v in catalog.words()})
-    if catalog.hints is None and (catalog.of("regexp") or catalog.of("field")) or len(words) > UNROLLED_WORDS:
-        return F.lit(True)
-    tests = [line.rlike(p) for p in (*(catalog.hints[0] if catalog.hints else ()), r"[{%?&]")]
-    tests += [F.contains(forms["lower"], F.lit(h)) for h in (catalog.hints[1] if catalog.hints else ())]
-    tests += [F.contains(forms["norm"], F.lit(v)) for v in sorted({v for _, _, _, v in catalog.phrases()})]
-    if words:
-        tests.append(F.exists(F.regexp_extract_all(forms["norm"], F.lit(r"(?U)[^\s?&=,;|]+"), F.lit(0)), lambda t: t.isin(words)))
-    return reduce(lambda a, b: a | b, tests)
-
-
-@dataclass(frozen=True)
-class _Compiled:
-    """The Columns of a catalog. They name columns of no particular frame, so a catalog is compiled once a session."""
-
-    catalog: Catalog
-    wanted: Column
-    look: Column
-    words: Column
-    indexed: Column
-    long: Column
-    keys: Column
-    hits: Column
-
-
-def _compile(catalog: Catalog, config: ScanConfig) -> _Compiled:
-    plans = catalog.__dict__.setdefault("_plans", {})
-    key = (config, id(SparkContext._active_spark_context))
-    if key not in plans:
-        families = [k for k, on in (("regexp", config.search_regexp), ("field", config.search_field), ("string", config.search_suchmuster)) if on]
-        plans[key] = _compiled(Catalog(tuple(r for r in catalog.rules if r.kind in families), catalog.stopwords, catalog.hints), config)
-    return plans[key]
-
-
-def _compiled(catalog: Catalog, config: ScanConfig) -> _Compiled:
-    line = F.col("line")
-    any_field = "(?U)" + "|".join(f"(?:{r.regex})" for _, r in catalog.of("field"))
-    keys = F.filter("_tokens", lambda t: (F.char_length(t["t"]) >= rules.MIN_FIELD) & t["t"].rlike(any_field))
-    none = F.array().cast("array<struct<i:int,t:string,p:struct<key:string,value:string>>>")
-    paired = F.transform(keys, lambda t: F.struct(t["i"].alias("i"), t["t"].alias("t"), inline_pair(t["t"]).alias("p")))
-    any_token = "(?U)" + "|".join(f"(?:{r.regex})" for _, r in catalog.of("regexp", "token"))
-    long = F.filter("_tokens", lambda t: (F.char_length(t["t"]) >= rules.MIN_REGEXP) & t["t"].rlike(any_token))
-    hits = line_hits(line, catalog) + phrase_hits(F.col("_low"), catalog) + token_hits(F.col("_long"), catalog) + field_hits(F.col("_words"), F.col("_keys"), catalog)
-    hits += word_hits(F.col("_tokens"), catalog) if len(catalog.words()) <= UNROLLED_WORDS else []
-    return _Compiled(
-        catalog,
-        (line != "") & passes_prefilter(line, config.prefilter, catalog),
-        worth_a_look(line, F.col("_forms"), catalog),
-        tokens(line, config.parse_json),
-        F.transform("_words", lambda t, i: F.struct(i.alias("i"), t.alias("t"), X.norm(t).alias("n"))),
-        long if catalog.of("regexp", "token") else F.filter("_tokens", lambda t: F.lit(False)),
-        paired if catalog.of("field") else none,
-        _all(hits),
+def _words(catalog: Catalog) -> list[tuple[int, str]]:
+    """(place, normal form) of the lexicon entries of one word that may be hits."""
+    never = catalog.stopwords.get("search", frozenset()) | set(rules.TECHNICAL_TERMS)
+    return [(i, v) for i, _, _, v in catalog.words() if v not in never]
+
+
+def spec_of(catalog: Catalog, config: ScanConfig = ScanConfig()) -> Spec:
+    """What the engine needs of a catalog."""
+    words: dict[str, tuple[int, ...]] = {}
+    if len(wanted := _words(catalog)) <= UNROLLED_WORDS:
+        for i, v in wanted:
+            words[v] = (*words.get(v, ()), i)
+    return Spec(
+        tuple((i, r.regex) for i, r in catalog.of("regexp", "line")),
+        tuple((i, r.regex) for i, r in catalog.of("regexp", "token")),
+        tuple((i, r.regex, r.offset) for i, r in catalog.of("field")),
+        tuple(words.items()),
+        tuple((i, v) for i, _, _, v in catalog.phrases() if v not in catalog.stopwords.get("search", ())),
+        catalog.stopwords.get("regexp", frozenset()),
+        config.parse_json,
+        config.regex_timeout_ms,
+        config.regex_disable_threshold,
     )
 
 
-def candidates(lines: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """lines (with a column `line`, stripped) → one row per hit: the columns of lines, stage, pos, family, ord, value, orig,
-    token, start, end, pattern, kind, krit. Narrow unless a lexicon is large.
-
-    Intermediate columns, each computed once: _low (normal form of the line), _words (tokens), _tokens (struct<i, t, n>: place, token,
-    normal form), _long (those a token rule matches) and _keys (those a field rule matches, with their inline pair p)."""
-    c, columns = _compile(catalog, config), lines.columns
-    # an explode of one row: many tests use these forms, and the filter is not pushed below it to compute them again for each
-    forms = F.struct(F.lower("line").alias("lower"), X.norm(F.col("line")).alias("norm"))
-    rows = lines.where(c.wanted).withColumn("_forms", F.explode(F.array(forms))).where(c.look)
-    rows = rows.withColumn("_low", F.col("_forms.norm")).withColumn("_words", c.words).withColumn("_tokens", c.indexed)
-    rows = rows.withColumns({"_long": c.long, "_keys": c.keys})
-    out = rows.select(*columns, F.explode(c.hits).alias("_h")).select(*columns, "_h.*")
-    if len(c.catalog.words()) > UNROLLED_WORDS:
-        lexicon = lines.sparkSession.createDataFrame([(v, i) for i, _, _, v in c.catalog.words()], "_value string, _ord int")
-        each = rows.select(*columns, F.explode("_tokens").alias("_t")).where(~_no_word(c.catalog, F.col("_t.n")))
-        hit = _hit(2, F.col("_t.i"), 2, F.col("_ord"), F.col("_t.t"))
-        out = out.unionByName(each.join(lexicon, F.col("_t.n") == F.col("_value")).select(*columns, hit.alias("_h")).select(*columns, "_h.*"))
-    return _finished(out, c.catalog)
-
-
-def _finished(hits: DataFrame, catalog: Catalog) -> DataFrame:
-    """What needs the line or the rule: exact values and places, lower bounds of length, stop lists of regular expressions."""
-    line, value, start = F.col("line"), F.col("value"), F.col("start")
-    lead = F.when(F.col("stage") == 0, F.char_length(value) - F.char_length(F.regexp_replace(value, r"(?U)^\s+", ""))).otherwise(0)
-    out = hits.withColumns({"_lead": lead, "value": F.when(F.col("stage") == 0, X.strip(value)).otherwise(value)})
-    found = F.instr(line, F.col("value")) - 1
-    phrase = F.col("stage") == 1
-    out = out.withColumn("start", F.when(start == _UNKNOWN, found).when(phrase, _origin(line, start)).otherwise(start + F.col("_lead")))
-    to = F.when(phrase, _origin(line, F.col("end") - 1) + 1).when(F.col("start") >= 0, F.col("start") + F.char_length("value")).otherwise(-1)
-    out = out.withColumn("end", to).withColumn("orig", F.when(phrase, F.substring(line, F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(F.col("value"))).drop("_lead")
-    regexp = F.col("family") == 0
-    short = regexp & (F.col("stage") == 0) & (F.char_length("value") < rules.MIN_REGEXP)
-    stopped = regexp & (_stop(catalog, "regexp", X.norm(F.col("value"))) | F.coalesce(_stop(catalog, "regexp", X.norm(F.col("token"))), F.lit(False)))
-    out = out.where((F.col("value") != "") & ~short & ~stopped).withColumn("token", F.when(F.col("family") == 1, F.col("token")))
+def _hits(lines: DataFrame, catalog: Catalog, config: ScanConfig) -> DataFrame:
+    """candidates, with hits of stage TIMED_OUT."""
+    families = [k for k, on in (("regexp", config.search_regexp), ("field", config.search_field), ("string", config.search_suchmuster)) if on]
+    catalog = catalog.only(*families)
+    columns, spec = lines.columns, spec_of(catalog, config)
+    rows = lines.where((F.col("line") != "") & passes_prefilter(F.col("line"), config.prefilter, catalog))
+    schema = StructType([*lines.schema.fields, *StructType.fromDDL(HIT).fields])
+    out = rows.mapInArrow(scanner(spec, columns.index("line")), schema)
+    if len(words := _words(catalog)) > UNROLLED_WORDS:
+        lexicon = lines.sparkSession.createDataFrame([(v, i) for i, v in words], "_value string, _ord int")
+        each = rows.select(*columns, F.posexplode(tokens(F.col("line"), config.parse_json)).alias("_i", "_t")).withColumn("_n", X.norm(F.col("_t")))
+        at = F.instr("line", F.col("_t")) - 1
+        hit = [F.lit(TOKEN), F.col("_i"), F.lit(2), F.col("_ord"), F.col("_t"), F.col("_t"), F.lit(None).cast("string"), at, F.when(at >= 0, at + F.char_length("_t")).otherwise(-1), X.lexicon_confidence(F.col("line"))]
+        named = [c.cast(f.dataType).alias(f.name) for c, f in zip(hit, StructType.fromDDL(HIT))]
+        out = out.unionByName(each.join(lexicon, F.col("_n") == F.col("_value")).select(*columns, *named))
     if not catalog.rules:
         return out.withColumns({"pattern": F.lit(""), "kind": F.lit(""), "krit": F.lit(0)})
     return out.withColumns({"pattern": _per_rule(catalog, lambda r: r.name), "kind": _per_rule(catalog, lambda r: r.kind), "krit": _per_rule(catalog, lambda r: r.krit)})
 
 
+def candidates(lines: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """lines (with a column `line`, stripped) → one row per hit: the columns of lines, stage, pos, family, ord, value, orig,
+    token, start, end, confidence, pattern, kind, krit. Narrow unless a lexicon is large."""
+    return _hits(lines, catalog, config).where(F.col("stage") != TIMED_OUT)
+
+
 def decide(found: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Candidates with decision (keep, rejected, path, stopword), variant ('', masked, low, incomplete), pattern as displayed, base_pattern, krit,
+    """Candidates with decision (keep, rejected, path, stopword, timeout), variant ('', masked, low, incomplete), pattern as displayed, base_pattern, krit,
     value, confidence, seq (order of discovery in a line) and context (struct<text, start, end, cut>)."""
     value, line, kind, base = F.col("value"), F.col("line"), F.col("kind"), F.col("pattern")
     valid = reduce(lambda c, x: c.when(base == x[0], x[1](value)), V.BY_RULE.items(), F.when(F.lit(False), F.lit(True))).otherwise(F.lit(True))
@@ -254,7 +116,8 @@ def decide(found: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()
     regexp, field_ = kind == "regexp", kind == "field"
     masked = field_ & X.is_masked(value)
     decision = (
-        F.when(regexp & (~valid | F.coalesce(street == "drop", F.lit(False))), "rejected")
+        F.when(F.col("stage") == TIMED_OUT, "timeout")
+        .when(regexp & (~valid | F.coalesce(street == "drop", F.lit(False))), "rejected")
         .when(field_ & ~masked & X.looks_like_path(value), "path")
         .when(field_ & ~masked & _stop(catalog, "field", X.norm(value)), "stopword")
         .otherwise("keep")
@@ -271,7 +134,6 @@ def decide(found: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()
         {
             "pattern": F.concat("base_pattern", suffix), "krit": krit.cast("int"), "value": said,
             "orig": F.when(F.col("variant").isin("masked", "incomplete"), said).otherwise(F.col("orig")), "start": at("start"), "end": at("end"),
-            "confidence": F.when(kind == "string", X.lexicon_confidence(line)).otherwise("high"),
             "seq": F.struct("stage", "pos", "family", "ord"),
         }
     )
@@ -280,7 +142,7 @@ def decide(found: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()
 
 
 def detect(lines: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()) -> DataFrame:
-    return decide(candidates(lines, catalog, config), catalog, config)
+    return decide(_hits(lines, catalog, config), catalog, config)
 
 
 def findings(detected: DataFrame) -> DataFrame:
@@ -290,3 +152,8 @@ def findings(detected: DataFrame) -> DataFrame:
 def rejected_counts(detected: DataFrame) -> DataFrame:
     """(pattern, n) of candidates that validation turned down."""
     return detected.where("decision = 'rejected'").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def timeouts(detected: DataFrame) -> DataFrame:
+    """(pattern, n) of texts on which a rule ran out of time."""
+    return detected.where("decision = 'timeout'").groupBy(F.col("base_pattern").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))

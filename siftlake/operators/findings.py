@@ -142,10 +142,3 @@ def scan_status(complete: int, partial: int, unreadable: int, skipped_rules: int
     if complete + partial == 0:
         return "failed", 4
     return ("partial", 3) if partial or unreadable or skipped_rules else ("complete", 0)
-
-
-def provenance(text: str) -> str:
-    """A short digest that names a rule file's state."""
-    import hashlib
-
-    return hashlib.sha256(text.encode()).hexdigest()[:12]

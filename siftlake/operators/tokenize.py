@@ -17,10 +17,10 @@ QUERY = r"[?&]([\w.\-\[\]]+)=([^&\n#]+)"
 URL = r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s]+"
 URL_TAIL = ".,;)]}\"'>"
 DEEPEST, MOST_VALUES = 20, 1000
-#: key:value or key=value within one token.
+#: Fixed value: key:value or key=value within one token.
 INLINE = r"""^[\s"'{\[(]*([\w.\-]{1,60})[\s"'}\])]*([:=])(.+)$"""
 
-_TOKEN, _QUERY, _URL = re.compile(f"[^{SEPARATORS}]+"), re.compile(QUERY), re.compile(URL)
+_TOKEN, _QUERY, _URL, _INLINE = re.compile(f"[^{SEPARATORS}]+"), re.compile(QUERY), re.compile(URL), re.compile(INLINE)
 
 
 def split_tokens(line: Column) -> Column:
@@ -134,6 +134,24 @@ def _urls(text: str) -> list[str]:
     return [v for r in raw if r for v in dict.fromkeys((unquote(r), r)) if v]
 
 
+def line_tokens(line: str) -> list[str]:
+    """`plain_tokens` of a line without JSON."""
+    out = _TOKEN.findall(line)
+    if "?" in line or "&" in line or "://" in line:
+        known = set(out)
+        out += [v for v in dict.fromkeys(_urls(line)) if v not in known]
+    return out
+
+
+def pair_of(token: str) -> tuple[str, str] | None:
+    """`inline_pair` of a token."""
+    if "://" in token or ":" not in token and "=" not in token or not (m := _INLINE.match(token)):
+        return None
+    key, value = m[1].strip("\"'{}[](),.;!? "), m[3].strip("\"'{}[](),.:;!?")
+    time = m[2] == ":" and key.isascii() and key.isdigit() and ":" in value
+    return (key, value) if key and value and not time else None
+
+
 def json_tokens(line: str) -> list[str]:
     """Tokens of a line that may hold JSON. A line that is an object counts as its string values; an object within a line is one token,
     followed by the tokens of its values; key:value tokens keep the context of keys."""

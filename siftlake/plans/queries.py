@@ -48,7 +48,7 @@ def _values(columns: str, rows: list[tuple]) -> str:
 
 def _only(*names: str) -> Catalog:
     c = shipped()
-    return Catalog(tuple(r for r in c.rules if r.name in names), c.stopwords, c.hints)
+    return Catalog(tuple(r for r in c.rules if r.name in names), c.stopwords)
 
 
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -303,6 +303,7 @@ def oversized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("oversized").alias("oversized"), F.max(F.when(F.col("oversized") & F.col("ascii"), 1024).otherwise(size)).alias("longest_ascii"))
 
 
+#: Lines with the rules that should fire.
 GOLD: list[tuple[str, tuple[str, ...]]] = [
     ("user login password=Sup3rSecret", ("Passwort",)), ("contact alice@example.com for info", ("email",)), ("card 4111 1111 1111 1111 charged", ("Kreditkarte",)),
     ("card 1234 5678 9012 3456 invalid", ()), ("iban DE89 3704 0044 0532 0130 00", ("IBAN",)), ("iban DE00 3704 0044 0532 0130 00", ()),
@@ -369,7 +370,7 @@ def pem_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def field_values_masked_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, v = shipped(), F.col("value")
-    rows = _candidates(spark, sf_dir, Catalog(tuple(r for r in c.rules if r.kind == "field"), c.stopwords, c.hints))
+    rows = _candidates(spark, sf_dir, Catalog(tuple(r for r in c.rules if r.kind == "field"), c.stopwords))
     return _counted(rows.withColumns({"masked": X.is_masked(v), "path": X.looks_like_path(v)}), "value", "masked", "path")
 
 

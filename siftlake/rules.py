@@ -104,7 +104,3 @@ IBAN_LENGTHS = {
 }
 #: Words that end like streets but are none.
 NO_STREETS = "speicherplatz arbeitsplatz fluchtweg loesungsweg rettungsweg irrweg holzweg ausweg loesungswege".split()
-#: What a line must contain for any shipped rule but the lexicons to match: one of these patterns, or one of these strings in its lower case.
-#: Lossless, see the tests. Several simple patterns are much faster than their alternation.
-LINE_HINTS = ["[0-9@_]", "[A-Z]{4}(?:DE|AT|CH|FR|GB|NL|BE|LU|IT|ES|PL|CZ|DK|SE|NO|FI|US)[A-Z0-9]{2}", "[A-Z]{4}-[A-Z]{4}", "[:-][0-9A-Fa-f]{2}[:-]"]
-LOWER_HINTS = """://|eyj|private|xox|akia|stra|street|weg|allee|platz|gasse|damm|ufer|jdbc:|vs-|git|bitbucket|account|geheim|secret|nato|restreint|confidentiel|eu |eu-|pass|kennw|pwd|identified|cred|api-key|apikey|token|session|authorization|bearer|aws-|azure-|gcp-|proxy-|smtp-|bind|user|login|benutzer|name|geburtsdatum|birth|dob|telefon|phone|mobil|kontonummer|vnr|vsnr""".split("|")
