@@ -202,3 +202,26 @@ def parse(
             warned.append(f"{line}: {e}")
     words = {k: frozenset(norm_text(w.strip()) for w in v.splitlines() if w.strip()) for k, v in (stopwords or {}).items()}
     return Catalog(tuple(found), words, tuple(warned), tuple(sources))
+
+
+def from_files(names: dict[str, str], base: str | Path, minlen: int = 4) -> Catalog:
+    """A catalog from the files that an INI's [files] names, inside base; a file that lies outside or is missing is a warning. Families
+    without a file keep the shipped rules, and so do stop lists."""
+    warned: list[str] = []
+
+    def text(key: str) -> str | None:
+        if key not in names:
+            return None
+        path = within(base, names[key])
+        if path is None or not path.is_file():
+            warned.append(f"{key}: no such file: {names[key]}")
+            return ""
+        return open_rule_file(path)
+
+    texts = {k: text(k) for k in ("regexp", "field", "suchmuster")}
+    stop = {kind: t for kind, key in (("regexp", "stopword_regexp"), ("field", "stopword_field"), ("search", "stopword_suchmuster")) if (t := text(key)) is not None}
+    folder = within(base, names.get("suchmuster_verzeichnis", "."))
+    own, kept = parse(texts["regexp"] or "", texts["field"] or "", texts["suchmuster"] or "", folder or base, stop, minlen), shipped(minlen)
+    kinds = {"regexp": "regexp", "field": "field", "suchmuster": "string"}
+    found = [r for key, kind in kinds.items() for r in (own if texts[key] is not None else kept).rules if r.kind == kind]
+    return Catalog(tuple(found), kept.stopwords | own.stopwords, (*own.warnings, *warned), own.sources)

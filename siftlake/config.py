@@ -90,6 +90,22 @@ class ScanConfig:
         return asdict(self)
 
 
+#: The rule files that an INI's [files] may name.
+FILE_KEYS = ("regexp", "field", "suchmuster", "suchmuster_verzeichnis", "stopword_regexp", "stopword_field", "stopword_suchmuster")
+
+
+def ini_files(text: str, strict: bool = True) -> dict[str, str]:
+    """The rule files that INI text names in [files]; keys as FILE_KEYS."""
+    parser = configparser.ConfigParser()
+    parser.read_string(text)
+    found = dict(parser["files"]) if parser.has_section("files") else {}
+    for key in found.keys() - set(FILE_KEYS):
+        if strict:
+            raise ConfigError(f"unknown key: {key}")
+        del found[key]
+    return found
+
+
 def load_ini(text: str, strict: bool = True, **explicit: object) -> ScanConfig:
     """Settings from INI text ([defaults]); explicit values go first. strict: unknown keys and bad values raise ConfigError,
     else they are left at their defaults."""

@@ -68,6 +68,11 @@ def lexicon_confidence(line: Column) -> Column:
     return F.when(F.lower(line).rlike("|".join(map(re.escape, rules.CONTEXT_MARKERS))), "medium").otherwise("low")
 
 
+def severity_text(krit: int) -> str:
+    """`severity_label` on the driver."""
+    return rules.SEVERITY_LABELS[krit]
+
+
 def severity_label(c: Column) -> Column:
     return F.element_at(F.create_map(*[x for k, v in rules.SEVERITY_LABELS.items() for x in (F.lit(k), F.lit(v))]), c)
 

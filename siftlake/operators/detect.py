@@ -17,7 +17,7 @@ from ..catalog import Catalog
 from ..config import ScanConfig
 from ..functions import text as X
 from ..functions import validators as V
-from .engine import HIT, TIMED_OUT, TOKEN, Spec, scanner
+from .engine import HIT, TIMED_OUT, TOKEN, Spec, hit_columns, scanner
 from .tokenize import tokens
 
 #: A lexicon of more single words than this is joined as a table and does not travel with the plan.
@@ -61,7 +61,7 @@ def _words(catalog: Catalog) -> list[tuple[int, str]]:
     return [(i, v) for i, _, _, v in catalog.words() if v not in never]
 
 
-def spec_of(catalog: Catalog, config: ScanConfig = ScanConfig()) -> Spec:
+def spec_of(catalog: Catalog, config: ScanConfig = ScanConfig(), others: bool = False) -> Spec:
     """What the engine needs of a catalog."""
     words: dict[str, tuple[int, ...]] = {}
     if len(wanted := _words(catalog)) <= UNROLLED_WORDS:
@@ -77,16 +77,17 @@ def spec_of(catalog: Catalog, config: ScanConfig = ScanConfig()) -> Spec:
         config.parse_json,
         config.regex_timeout_ms,
         config.regex_disable_threshold,
+        (config.context_chars_before, config.context_chars_after) if others else None,
     )
 
 
-def _hits(lines: DataFrame, catalog: Catalog, config: ScanConfig) -> DataFrame:
+def _hits(lines: DataFrame, catalog: Catalog, config: ScanConfig, others: bool = False) -> DataFrame:
     """candidates, with hits of stage TIMED_OUT."""
     families = [k for k, on in (("regexp", config.search_regexp), ("field", config.search_field), ("string", config.search_suchmuster)) if on]
     catalog = catalog.only(*families)
-    columns, spec = lines.columns, spec_of(catalog, config)
+    columns, spec = lines.columns, spec_of(catalog, config, others)
     rows = lines.where((F.col("line") != "") & passes_prefilter(F.col("line"), config.prefilter, catalog))
-    schema = StructType([*lines.schema.fields, *StructType.fromDDL(HIT).fields])
+    schema = StructType([*lines.schema.fields, *StructType.fromDDL(hit_columns(spec)).fields])
     out = rows.mapInArrow(scanner(spec, columns.index("line")), schema)
     if len(words := _words(catalog)) > UNROLLED_WORDS:
         lexicon = lines.sparkSession.createDataFrame([(v, i) for i, v in words], "_value string, _ord int")
@@ -94,7 +95,7 @@ def _hits(lines: DataFrame, catalog: Catalog, config: ScanConfig) -> DataFrame:
         at = F.instr("line", F.col("_t")) - 1
         hit = [F.lit(TOKEN), F.col("_i"), F.lit(2), F.col("_ord"), F.col("_t"), F.col("_t"), F.lit(None).cast("string"), at, F.when(at >= 0, at + F.char_length("_t")).otherwise(-1), X.lexicon_confidence(F.col("line"))]
         named = [c.cast(f.dataType).alias(f.name) for c, f in zip(hit, StructType.fromDDL(HIT))]
-        out = out.unionByName(each.join(lexicon, F.col("_n") == F.col("_value")).select(*columns, *named))
+        out = out.unionByName(each.join(lexicon, F.col("_n") == F.col("_value")).select(*columns, *named), allowMissingColumns=True)
     if not catalog.rules:
         return out.withColumns({"pattern": F.lit(""), "kind": F.lit(""), "krit": F.lit(0)})
     return out.withColumns({"pattern": _per_rule(catalog, lambda r: r.name), "kind": _per_rule(catalog, lambda r: r.kind), "krit": _per_rule(catalog, lambda r: r.krit)})
@@ -141,8 +142,9 @@ def decide(found: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()
     return out.withColumn("context", context).drop("_key", "stage", "pos", "family", "ord")
 
 
-def detect(lines: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig()) -> DataFrame:
-    return decide(_hits(lines, catalog, config), catalog, config)
+def detect(lines: DataFrame, catalog: Catalog, config: ScanConfig = ScanConfig(), others: bool = False) -> DataFrame:
+    """Decided candidates; others adds the values found around each (others array<string>), which masked reports hide too."""
+    return decide(_hits(lines, catalog, config, others), catalog, config)
 
 
 def findings(detected: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -49,6 +50,7 @@ class Spec:
     parse_json: str = "auto"
     timeout_ms: int = 100
     strikes: int = 5
+    others: tuple[int, int] | None = None  # characters before and behind a hit in which the values of other hits are listed
 
 
 _MARKS: dict[int, str | None] = {}
@@ -244,11 +246,28 @@ class Engine:
         return line_tokens(line)
 
     def scan(self, lines: list[str | None]) -> list[tuple]:
-        """(row, stage, pos, family, ord, value, orig, token, start, end, confidence) of every hit in lines; rows rise with the lines of
-        a part, not within."""
+        """(row, stage, pos, family, ord, value, orig, token, start, end, confidence) of every hit in lines, and the values near it if they
+        are asked for; rows rise with the lines of a part, not within."""
         out: list[tuple] = []
         for at in range(0, len(lines), TOGETHER):
             self._scan([(i, s) for i, s in enumerate(lines[at : at + TOGETHER], at) if s], out)
+        return [(*h, o) for h, o in zip(out, self._others(out))] if self.spec.others else out
+
+    def _others(self, hits: list[tuple]) -> list[list[str]]:
+        """The originals of the hits that lie near each hit in its line, long ones first; all of the line's where its place is unknown."""
+        before, behind = self.spec.others
+        of_row: dict[int, list[tuple[int, int, str]]] = {}
+        for h in hits:
+            if h[8] >= 0:
+                of_row.setdefault(h[0], []).append((h[8], h[9], h[6]))
+        widest = {row: max(e - s for s, e, _ in sorted_) for row, sorted_ in of_row.items() if not sorted_.sort()}
+        out = []
+        for h in hits:
+            places = of_row.get(h[0], [])
+            if h[8] >= 0:
+                low = bisect_left(places, (h[8] - before - widest[h[0]],))
+                places = places[low : bisect_left(places, (h[9] + behind,))]
+            out.append(sorted({v for _, _, v in places if v}, key=lambda v: (-len(v), v)))
         return out
 
     def _scan(self, rows: list[tuple[int, str]], out: list[tuple]) -> None:
@@ -352,18 +371,22 @@ def engine_for(spec: Spec) -> Engine:
 
 
 _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+def hit_columns(spec: Spec) -> str:
+    return HIT + ", others array<string>" * bool(spec.others)
+
+
 #: Hits that one batch of results holds, about.
 BATCH = 20_000
 
 
 def scanner(spec: Spec, column: int):
     """A function of Arrow batches: each row's columns once for each hit in its line, and the hit."""
-    names = [x.split()[0] for x in HIT.split(", ")]
+    names, kinds = [x.split()[0] for x in hit_columns(spec).split(", ")], [*_KINDS, *[pa.list_(pa.string())] * bool(spec.others)]
 
     def results(b: pa.RecordBatch, hits: list[tuple]) -> pa.RecordBatch:
         row, *columns = zip(*hits)
         taken = b.take(pa.array(row, pa.int32()))
-        return pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=[*b.schema.names, *names])
+        return pa.RecordBatch.from_arrays([*taken.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*b.schema.names, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = engine_for(spec)
