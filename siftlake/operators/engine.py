@@ -11,10 +11,11 @@ several texts is given up for the rest of the task; each such text is reported a
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +29,8 @@ from .tokenize import json_tokens, line_tokens, pair_of
 
 #: Tokens that a worker remembers, at most, and the longest of them.
 KNOWN, SHORT = 300_000, 100
+#: From so many texts on, a rule's own automaton sifts them before the expression.
+MANY = 16
 #: Lines that are looked at together.
 TOGETHER = 2000
 #: Texts of more characters are matched under the time limit whatever the rule.
@@ -101,7 +104,7 @@ class _Sieve:
         self.by_digits = [r for r in found if not r.strings and r.needs.digits]
         self.rest = [r for r in found if not r.strings and not r.needs.digits]
 
-    def places(self, texts: list[str], least: int) -> Iterator[tuple[Rule, Iterable[int]]]:
+    def places(self, texts: list[str], least: int) -> Iterator[tuple[Rule, list[int]]]:
         """(rule, places of texts that have what it needs); a rule comes once, places rise. Texts are of the least length."""
         if not texts or not self.all:
             return
@@ -128,7 +131,7 @@ class _Sieve:
             return some
         return [i for i in some if any(c in texts[i] for c in r.chars)]
 
-    def _by_strings(self, blob: str) -> Iterator[tuple[Rule, Iterable[int]]]:
+    def _by_strings(self, blob: str) -> Iterator[tuple[Rule, list[int]]]:
         found: dict[int, set[int]] = {}
         starts: dict[bool, np.ndarray] = {}
         hay = {False: blob, True: fold(blob)}
@@ -160,6 +163,10 @@ class _Sieve:
         return np.diff(upto[ends], prepend=0)
 
 
+def _matching(column: pa.Array, plain: str) -> list[int]:
+    return np.flatnonzero(pc.match_substring_regex(column, plain).to_numpy(zero_copy_only=False)).tolist()
+
+
 class Rules:
     """Expressions that are tried on many texts."""
 
@@ -174,9 +181,12 @@ class Rules:
     def worth_trying(self, texts: list[str]) -> Iterator[tuple[Rule, str, int]]:
         """(rule, text, its place) of texts that have what a rule needs; a rule's texts come together."""
         if self.any and texts:
-            some = np.flatnonzero(pc.match_substring_regex(pa.array(texts, pa.string()), self.any).to_numpy(zero_copy_only=False)).tolist()
-            kept = [texts[i] for i in some]
+            column = pa.array(texts, pa.string())
+            some = _matching(column, self.any)
+            kept, column = [texts[i] for i in some], column.take(pa.array(some, pa.int32()))
             for r, places in self.sieved.places(kept, self.least):
+                if len(places) > MANY:
+                    places = [places[i] for i in _matching(column.take(pa.array(places, pa.int32())), r.needs.plain)]
                 for i in places:
                     yield r, kept[i], some[i]
         for r, places in self.others.places(texts, self.least):
@@ -208,6 +218,7 @@ class Engine:
         make = lambda found, least: Rules([Rule(*r) for r in found], least, spec.timeout_ms, spec.strikes)
         self.lines, self.tokens, self.fields = make(spec.lines, 1), make(spec.tokens, rules.MIN_REGEXP), make(spec.fields, rules.MIN_FIELD)
         self.words, self.phrases = dict(spec.words), spec.phrases
+        self.longest_stop = max(map(len, spec.stop_values), default=0)
         self.seen: set[str] = set()  # tokens that were tried
         self.known: dict[str, tuple] = {}  # what the rules say of those that mean something
 
@@ -218,7 +229,7 @@ class Engine:
                 r.strikes, r.off = 0, False
 
     def _stopped(self, text: str) -> bool:
-        return normal(text) in self.spec.stop_values
+        return not (len(text) > self.longest_stop and text.isascii()) and normal(text) in self.spec.stop_values
 
     def _tell(self, new: list[str]) -> dict[str, tuple]:
         """What the rules say of tokens: (hits of token rules, keys of field rules, lexicons); tokens that mean nothing are left out."""
@@ -391,7 +402,11 @@ def scanner(spec: Spec, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = engine_for(spec)
         for b in batches:
-            hits = engine.scan(b.column(column).to_pylist())
+            gc.disable()  # hits hold no cycles, and there are many of them
+            try:
+                hits = engine.scan(b.column(column).to_pylist())
+            finally:
+                gc.enable()
             for at in range(0, len(hits), BATCH):
                 yield results(b, hits[at : at + BATCH])
 

@@ -108,12 +108,15 @@ def _balanced(text: str, start: int) -> int:
     return start
 
 
+_DECODER = json.JSONDecoder()
+
+
 def fragments(text: str) -> list[tuple[int, int]]:
     """Spans of JSON objects in a text: valid ones, or else balanced brackets."""
-    out, at, decoder = [], text.find("{"), json.JSONDecoder()
+    out, at = [], text.find("{")
     while at >= 0:
         try:
-            end = decoder.raw_decode(text, at)[1]
+            end = _DECODER.raw_decode(text, at)[1]
         except (ValueError, RecursionError):
             end = _balanced(text, at)
         if end > at:

@@ -18,7 +18,7 @@ from ..functions.redact import redact
 from ..operators import findings as R
 from ..operators import tokenize as K
 from ..operators.detect import candidates, detect, findings, passes_prefilter, rejected_counts
-from ..sources.lines import from_table, limit_lines
+from ..sources.lines import from_table, limit_lines, spread
 from .scan import scan_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _values(columns: str, rows: list[tuple]) -> str:
@@ -96,8 +96,11 @@ def ipv4_public_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT lang, count(DISTINCT (doc_id, line)) AS n_lines, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM {_TOKENS} GROUP BY lang")
 def token_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = from_table(documents(spark, sf_dir), keep=("doc_id", "lang")).where("line <> ''")
-    rows = lines.select("doc_id", "lang", "line", F.explode(K.plain_tokens(F.col("line"))).alias("token"))
-    return rows.groupBy("lang").agg(F.count_distinct("doc_id", "line").alias("n_lines"), F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("token").alias("n_distinct"))
+    # distinct lines and distinct tokens are folded apart, so that no token row carries its line
+    some = lines.withColumn("t", K.plain_tokens(F.col("line"))).where(F.size("t") > 0)
+    by_line = some.groupBy("lang", "doc_id", "line").agg(F.sum(F.size("t")).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n_tokens"))
+    by_token = lines.select("lang", F.explode(K.plain_tokens(F.col("line"))).alias("token")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return by_line.join(by_token, "lang")
 
 
 @query(f"SELECT strip_accents(replace(lower(token), 'ß', 'ss')) AS word, count(*) AS n FROM {_TOKENS} GROUP BY 1 ORDER BY n DESC, word LIMIT 50")

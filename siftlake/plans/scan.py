@@ -14,7 +14,7 @@ from ..functions.text import severity_text
 from ..operators import findings as R
 from ..operators.detect import detect, findings, rejected_counts, timeouts
 from ..operators.diagnostics import Diagnostics, line_counts
-from ..sources.lines import from_table, read_logs
+from ..sources.lines import from_table, read_logs, spread
 
 
 @dataclass
@@ -128,7 +128,7 @@ def status_report(catalog: Catalog, config: ScanConfig) -> list[str]:
 
 def scan_table(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), catalog: Catalog | None = None, config: ScanConfig = ScanConfig(), file_col: str | None = None) -> Scan:
     catalog = catalog or shipped(config.minlen)
-    lines = from_table(df, text_col, keep, file_col)
+    lines = from_table(spread(df), text_col, keep, file_col)
     return Scan(lines, detect(lines, catalog, config), config, catalog)
 
 

@@ -19,6 +19,20 @@ _TEXT = bytes(range(32, 127)) + b"\r\n\t\f\b\x1b"
 _BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
 
+#: Bytes a core of a table that is dealt over all cores before it is scanned. A small file may be one row group, which one task reads whole;
+#: larger tables have many, and stay as they lie.
+SPREAD = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small (by the plan's statistics) that its files may keep most of them idle."""
+    if df.isStreaming or not hasattr(df, "_jdf"):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(4 * cores) if size <= SPREAD * cores else df
+
+
 def from_table(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), file_col: str | None = None) -> DataFrame:
     """One row per line of a text: the kept columns, file, line_no (from 1) and line (stripped). Null text has no lines. Narrow."""
     text = F.split(F.col(text_col), "\r?\n", -1)
