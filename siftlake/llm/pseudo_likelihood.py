@@ -10,7 +10,8 @@ of their own are left out of it, so no key of it has more than LEAST rows. A doc
 Training is distributed: each partition goes through all its documents, from common starting weights; weights are then averaged by
 tokens (only they are shuffled), for ROUNDS rounds. A hash of token, place and document deals the positions to the rounds, so every
 position is a target in one of them.
-Everything covers all data; what is gathered (word counts and weights of every partition, rare words of every row) grows with it.
+Texts become ids once; training and scoring read these. Weights depend on how rows lie in partitions, as any averaged training does, and are
+the same for the same table. Everything covers all data; what is gathered (word counts and weights of every partition, rare words of every row) grows with it.
 
 Defined cases: null or empty texts have no tokens, a score of 0.0 and a mean of null; a text of one word is predicted from
 padding alone; repeated rows score alike; an empty table gives an empty result. Columns other than id and text are not read.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, quoted
 
 #: Ids of the least vocabulary: OWN for frequent words, the rest hashed; one more stands for what lies beyond the text.
 IDS, OWN, BASE = 4096, 2048, 16
@@ -172,7 +173,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield hand_on()
 
-    return docs.select(text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(quoted(text_col)).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, own: int = OWN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -314,25 +315,49 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(s / tokens).astype(np.float32)], pa.list_(pa.float32()))], names=["block", "weights"])
 
 
-def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """The averaged weights. What reaches the driver is one set of weights a round."""
-    sc, flat = docs.sparkSession.sparkContext, initial(ids=id_count(len(frequent)))
-    words = sc.broadcast(frequent)  # 8 bytes a word with an id of its own
+def encoded(docs: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, id, ids, rare) of every row: the token ids (little-endian, 32-bit), and the hashes of the words with shared ids, in order."""
+    words = docs.sparkSession.sparkContext.broadcast(frequent)  # 8 bytes a word with an id of its own
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(words.value)
+        for b in batches:
+            for at, texts in _slices(b, 2):
+                ids, n, h = vocabulary.split(texts)
+                ends, rare = np.concatenate([[0], np.cumsum(n)]), ids >= vocabulary.own
+                data = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<i4"))])
+                upto = np.concatenate([[0], np.cumsum(rare)])[ends]
+                hashes = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), data, hashes], names=["rid", "id", "ids", "rare"])
+
+    return rows.mapInArrow(run, f"rid bigint, id {rows.schema['id'].dataType.simpleString()}, ids binary, rare array<bigint>")
+
+
+def _ids_of(column: pa.Array, size: int = 500) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids of all rows, number of each) of a column of ids, some rows at a time."""
+    for at in range(0, len(column), size):
+        each = [np.frombuffer(x.as_buffer(), "<i4") for x in column.slice(at, size)]
+        yield at, np.concatenate(each) if each else np.empty(0, np.int32), np.array([len(x) for x in each], np.int64)
+
+
+def train_ids(rows: DataFrame, ids: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The averaged weights, from rows with a column ids. What reaches the driver is one set of weights a round."""
+    sc, flat = rows.sparkSession.sparkContext, initial(ids=ids)
     for round_ in range(rounds):
         start = sc.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], round_=round_, start=start) -> Iterator[pa.RecordBatch]:
-            vocabulary = Vocabulary(words.value)
-            t = Trainer(start.value, vocabulary.size)
+            t = Trainer(start.value, ids)
             for b in batches:
-                for _, texts in _slices(b, 0):
-                    t.add(*vocabulary.ids(texts), round_, rounds)
+                for _, got, n in _ids_of(b.column(0)):
+                    t.add(got, n, round_, rounds)
             t.step()
             if t.tokens:
                 for at in range(0, len(t.flat), BLOCK):
                     yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([t.tokens], pa.int64()), pa.array([t.flat[at : at + BLOCK]], pa.list_(pa.float32()))], names=["block", "tokens", "weights"])
 
-        local = docs.select(text_col).mapInArrow(run, "block int, tokens bigint, weights array<float>")
+        local = rows.select("ids").mapInArrow(run, "block int, tokens bigint, weights array<float>")
         got = local.repartition("block").mapInArrow(_mean, "block int, weights array<float>").toArrow()
         flat = flat.copy()
         for block, x in zip(got["block"].to_pylist(), got["weights"]):
@@ -341,6 +366,11 @@ def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", rounds:
     return flat
 
 
+def train(docs: DataFrame, frequent: np.ndarray, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    """The averaged weights of a network trained on docs."""
+    return train_ids(encoded(docs, frequent, text_col, text_col), id_count(len(frequent)), rounds)
+
+
 def text_scores(w: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
     """Summed conditional log-probabilities of all tokens of each text; given: what is added to that of each token."""
     context = contexts(ids, counts, w["embed"].shape[1] - 1)
@@ -351,47 +381,53 @@ def text_scores(w: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, g
     return sums[ends] - sums[ends - counts]
 
 
-def score(docs: DataFrame, flat: np.ndarray, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text", shared_n: np.ndarray | None = None) -> DataFrame:
-    """(id_col, n_tokens, pll, mean_pll) of every row; one narrow pass. A shared id counts as one word; with the occurrences of the
-    shared ids (shared_n), pll is less their logarithm for each such word, and the words' hashes are in one more column, _rare."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((flat, frequent, shared_n))
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_ids(rows: DataFrame, flat: np.ndarray, own: int, shared_n: np.ndarray | None = None) -> DataFrame:
+    """(rid, id, n_tokens, pll) of rows with ids; own is the number of ids that stand for one word. A shared id counts as one word, or,
+    with the occurrences of the shared ids (shared_n), pll is less their logarithm for each such word."""
+    shared = rows.sparkSession.sparkContext.broadcast((flat, shared_n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n_of = Vocabulary(shared.value[1]), shared.value[2]
-        w = unpacked(shared.value[0], vocabulary.size)
-        for whole in batches:
-            for at, texts in _slices(whole, 1):
-                ids, n, h = vocabulary.split(texts)
-                given, more = None, {}
+        w, n_of = unpacked(shared.value[0], own + SHARED), shared.value[1]
+        for b in batches:
+            for at, ids, n in _ids_of(b.column(2)):
+                given = None
                 if n_of is not None:
-                    rare = ids >= vocabulary.own
+                    rare = ids >= own
                     given = np.zeros(len(ids))
-                    given[rare] = -np.log(n_of[ids[rare] - vocabulary.own])
-                    upto = np.concatenate([[0], np.cumsum(rare)])[np.concatenate([[0], np.cumsum(n)])]
-                    more["_rare"] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h[rare].view(np.int64)))
+                    given[rare] = -np.log(n_of[ids[rare] - own])
                 sums = text_scores(w, ids, n, given)
-                means = pa.array(np.divide(sums, n, where=n > 0, out=np.zeros(len(n))), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, len(texts)), pa.array(n), pa.array(sums), means, *more.values()], names=[id_col, "n_tokens", "pll", "mean_pll", *more])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), b.column(1).slice(at, len(n)), pa.array(n), pa.array(sums)], names=["rid", "id", "n_tokens", "pll"])
+
+    return rows.select("rid", "id", "ids").mapInArrow(run, f"rid bigint, id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, pll double")
+
+
+def _told(scored: DataFrame, id_col: str, *more: str) -> DataFrame:
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"), *more)
+
+
+def score(docs: DataFrame, flat: np.ndarray, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text", shared_n: np.ndarray | None = None) -> DataFrame:
+    """(id_col, n_tokens, pll, mean_pll) of every row; one narrow pass. Words with shared ids have the probability of the id."""
+    return _told(score_ids(encoded(docs, frequent, id_col, text_col), flat, id_count(len(frequent)) - SHARED, shared_n), id_col)
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, pll double, mean_pll double" + (", _rare array<bigint>" if shared_n is not None else ""))
+def with_word_counts(scored: DataFrame, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds to pll the logarithm of its count for each word with a shared id, by a join. Words of one occurrence add nothing."""
+    each = rows.select(F.col("rid").alias("r"), F.explode("rare").alias("word")).join(counts.where("n > 1"), "word")
+    more = each.groupBy("r").agg(F.sum(F.ln("n")).alias("more"))
+    out = scored.join(more, F.col("rid") == F.col("r"), "left")
+    return out.withColumn("pll", F.col("pll") + F.coalesce("more", F.lit(0.0))).drop("r", "more")
 
 
-def with_word_counts(scored: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds the logarithm of its count for each word in _rare. Words of one occurrence add nothing."""
-    rows = materialize(scored.withColumn("_rid", F.monotonically_increasing_id()), "pll-scored")
-    each = rows.select("_rid", F.explode("_rare").alias("word")).join(counts.where("n > 1"), "word")
-    more = each.groupBy("_rid").agg(F.sum(F.ln("n")).alias("_more"))
-    pll = F.col("pll") + F.coalesce("_more", F.lit(0.0))
-    out = rows.drop("_rare").join(more, "_rid", "left").withColumn("pll", pll)
-    return out.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))).select(*[c for c in scored.columns if c != "_rare"])
+def word_scores(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, **vocabulary: int) -> DataFrame:
+    """(id_col, n_tokens, pll, mean_pll) of every row of docs, by a network trained on docs whose words have these counts."""
+    frequent, n = most_frequent(counts, **vocabulary)
+    rows = materialize(encoded(docs, frequent, id_col, text_col), "pll-ids")
+    flat = train_ids(rows, id_count(len(frequent)), rounds)
+    scored = score_ids(rows, flat, id_count(len(frequent)) - SHARED, shared_counts(counts, frequent, n))
+    return _told(with_word_counts(scored, rows, counts), id_col)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Counts, trains and scores on docs."""
     bounded_batches(docs.sparkSession)
-    counts = materialize(word_counts(docs, text_col), "pll-counts")
-    frequent, n = most_frequent(counts)
-    flat = train(docs, frequent, text_col, rounds)
-    return with_word_counts(score(docs, flat, frequent, id_col, text_col, shared_counts(counts, frequent, n)), counts)
+    return word_scores(docs, materialize(word_counts(docs, text_col), "pll-counts"), id_col, text_col, rounds)

@@ -452,7 +452,7 @@ def test_pseudo_likelihood_of_words(spark, docs):
     for x, k in all_n.items():
         if x not in set(frequent.tolist()):
             buckets[(x >> 32) % pseudo_likelihood.SHARED] += k
-    got = {r["doc_id"]: r for r in pseudo_likelihood.with_word_counts(pseudo_likelihood.score(docs, flat, frequent, shared_n=pseudo_likelihood.shared_counts(counts, frequent, n)), counts).collect()}
+    got = {r["doc_id"]: r for r in pseudo_likelihood.word_scores(docs, counts, rounds=1, own=100, least=8).collect()}
     assert len(got) == docs.count()
     for r in docs.limit(5).collect():
         ids, k, h = vocabulary.split([r["text"]])
