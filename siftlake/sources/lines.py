@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import stat
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from ..config import ScanConfig
 from ..functions.text import strip
 
 HEAD = 4096
+#: Threads that look at heads of files.
+LOOKERS = 32
 _TEXT = bytes(range(32, 127)) + b"\r\n\t\f\b\x1b"
 _BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
@@ -101,16 +105,23 @@ def head_of(spark: SparkSession, path: str) -> bytes:
 
 
 def inspect(spark: SparkSession, patterns: Sequence[str], config: ScanConfig = ScanConfig()) -> list[dict[str, str | None]]:
-    """file, status (ok or skipped), reason and encoding of each input. A look at each file's head on the driver."""
-    out = []
-    for path in expand(spark, patterns):
+    """file, status (ok or skipped), reason and encoding of each input. The heads are read by many threads of the driver, as all that
+    they wait for is the store; a file that cannot be read is skipped, with its reason."""
+
+    def look(path: str) -> dict[str, str | None]:
         local = path.removeprefix("file:") if path.startswith("file:") else None
-        reason = classify(local, config.follow_input_symlinks) if local else None
-        head = b"" if reason else head_of(spark, path)
+        reason, head = classify(local, config.follow_input_symlinks) if local else None, b""
+        if not reason:
+            try:
+                head = head_of(spark, path)
+            except Exception as e:  # noqa: BLE001  py4j wraps whatever the store says
+                reason = f"unreadable: {str(e).splitlines()[0]}"
         if not reason and looks_binary(head):
             reason = "binary content"
-        out.append({"file": path, "status": "skipped" if reason else "ok", "reason": reason, "encoding": None if reason else encoding_of(head, config.encoding)})
-    return out
+        return {"file": path, "status": "skipped" if reason else "ok", "reason": reason, "encoding": None if reason else encoding_of(head, config.encoding)}
+
+    with ThreadPoolExecutor(LOOKERS) as pool:
+        return list(pool.map(look, expand(spark, patterns)))
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
@@ -123,6 +134,23 @@ def _numbered(raw: DataFrame) -> DataFrame:
     return joined.select(F.col("_file").alias("file"), (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), F.col("value").alias("line"))
 
 
+def by_lines(encoding: str) -> str | None:
+    """The characters of bytes 0 to 255 in an encoding of one byte a character that leaves ASCII as it is; None for others. Files in such
+    an encoding are cut into lines as bytes, and so are read in splits like UTF-8."""
+    try:
+        table = "".join(bytes([b]).decode(encoding, "replace") for b in range(256))
+    except LookupError:
+        return None
+    return table if len(table) == 256 and table[:128] == bytes(range(128)).decode("ascii") and codecs.lookup(encoding).name not in ("utf-8", "ascii") and len(set(table)) > 200 else None
+
+
+def _decoded(raw: DataFrame, table: str) -> DataFrame:
+    """Lines whose bytes are read by a table of characters."""
+    latin = "".join(map(chr, range(128, 256)))
+    text = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
+    return raw.withColumn("line", F.translate(text, latin, table[128:]))
+
+
 def _decoder(encodings: dict[str, str], errors: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
@@ -143,7 +171,7 @@ def _decoder(encodings: dict[str, str], errors: str):
 
 def read_logs(spark: SparkSession, patterns: Sequence[str], config: ScanConfig = ScanConfig()) -> tuple[DataFrame, DataFrame]:
     """(lines, files): lines as file, line_no, line (stripped), oversized, replaced (undecodable characters); files as file, status,
-    reason, encoding. UTF-8 files are read in splits, gzip included; other encodings file by file."""
+    reason, encoding. UTF-8 files and those of one byte a character are read in splits, gzip included; UTF-16 and UTF-32 file by file."""
     seen = inspect(spark, patterns, config)
     files = spark.createDataFrame([(f["file"], f["status"], f["reason"], f["encoding"]) for f in seen], "file string, status string, reason string, encoding string")
     plain = [f["file"] for f in seen if f["status"] == "ok" and f["encoding"] == "utf-8"]
@@ -151,6 +179,11 @@ def read_logs(spark: SparkSession, patterns: Sequence[str], config: ScanConfig =
     frames = []
     if plain:
         frames.append(_numbered(spark.read.option("lineSep", "\n").text(plain)))
+    for encoding in sorted({e for e in other.values() if e}):
+        if table := by_lines(encoding):
+            paths = [f for f, e in other.items() if e == encoding]
+            frames.append(_decoded(_numbered(spark.read.option("lineSep", "\n").text(paths)), table))
+            other = {f: e for f, e in other.items() if e != encoding}
     if other:
         content = spark.read.format("binaryFile").load(list(other)).select("path", "content")
         frames.append(content.mapInArrow(_decoder(other, config.encoding_errors), "file string, line_no bigint, line string"))
