@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, quoted
+from .common import bounded_batches, frugal, materialize, quoted
 
 CAPACITY = 4096
 #: The id that ends each document.
@@ -162,6 +162,7 @@ def _local(path: str, capacity: int, end: int, with_ids: bool, window: int):
                     held = 0
         if out[0]:
             yield from packed()
+        words.clear()  # a worker lives on after its task
 
     return run
 
@@ -180,7 +181,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     bounded_batches(docs.sparkSession)
     keys = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("t"))
     schema = f"id {keys.schema['id'].dataType.simpleString()}" + ", piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", bin bigint, at bigint, bin_fill int"
-    pieces = materialize(keys.mapInArrow(_local(path or tokenizer_path(), capacity, end, with_ids, window), schema), "pack-pieces")
+    pieces = materialize(keys.mapInArrow(frugal(_local(path or tokenizer_path(), capacity, end, with_ids, window)), schema), "pack-pieces")
     # where each underfull bin of a partition ends up: (bin, cur, base, fill)
     state = pieces.where(F.col("bin_fill") < capacity - slack).select("bin", F.col("bin").alias("cur"), F.lit(0).cast("long").alias("base"), F.col("bin_fill").alias("fill")).distinct()
     state = materialize(state, "pack-bins")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, quoted, unused
+from .common import bounded_batches, frugal, quoted, unused
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 2500
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             columns = [pa.array([i for i, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "y", "i", "v"])
 
-    got = rows.mapInArrow(vectors, f"id {kind}, y int, i array<bigint>, v array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    got = rows.mapInArrow(frugal(vectors), f"id {kind}, y int, i array<bigint>, v array<float>").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     model = FactorisationMachine.empty(WORDS + BINS * (len(STATISTICS) + len(metadata)))
     y = got["y"].to_numpy()
     if len(set(y.tolist())) == 2:
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
         _hashes.clear()  # a worker lives on after its task
 
     bounded_batches(docs.sparkSession)
-    return docs.select("*", *[c.alias(n) for c, n in zip(_metadata(docs, metadata), extra)]).mapInArrow(run, schema)
+    return docs.select("*", *[c.alias(n) for c, n in zip(_metadata(docs, metadata), extra)]).mapInArrow(frugal(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:
