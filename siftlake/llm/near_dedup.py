@@ -12,9 +12,11 @@ about its number of distinct shingles plus registers * log(registers).
 Signatures are cut into BANDS of ROWS registers; documents of similarity s share a band with probability
 1 - (1 - s**ROWS)**BANDS, above 0.999998 at 0.8. Candidates are verified by their true multiset overlap, from whole texts:
 
-1. documents with equal multisets are one node; nodes that share a band key form a bucket, and buckets that
-   share nodes a component, found by labels that go from nodes to buckets and back, at a cost of one row per membership;
-2. components hold all pairs that share a band. Texts of nodes in a component are fetched once, past a fixed-size
+1. documents with equal multisets are one node; nodes that share a band key form a bucket. Buckets of up to SMALL nodes, which is most
+   of them and all that chance makes, fall apart into groups whose signatures agree in FLOOR of the registers (see 3), so that a
+   chance band ties no two texts; larger ones stay whole. Buckets that share nodes are a component, found by labels that go from nodes to
+   buckets and back, at a cost of one row per membership;
+2. components hold all pairs that share a band and may be links. Texts of nodes in a component are fetched once, past a fixed-size
    Bloom filter of their ids, and a component is cut into blocks of BLOCK nodes (or BLOCK_WEIGHT shingles);
 3. a task compares the nodes of two blocks: pairs that are not yet in one class and whose signatures agree in FLOOR of the
    registers (a true pair agrees in less with probability 2e-6) are verified, and only links that join two classes leave the task.
@@ -37,15 +39,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, quoted, text_hash, text_of, without
+from .common import bounded_batches, frugal, materialize, quoted, text_hash, text_of, without
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
 FLOOR, BLOCK, BLOCK_WEIGHT = 0.6, 2048, 2_000_000
+#: Nodes of a bucket whose signatures are compared before it ties them.
+SMALL = 64
 #: Bits of the filter that keeps texts which no pair needs from being shuffled; fixed, whatever the input.
 FILTER_BITS = 1 << 24
 CACHE = 200_000
+#: Shingles whose points are drawn together.
+TOGETHER = 100_000
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -161,7 +167,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = bag(text)
             held.append((key, node_of(text, *b), b, raw))
             weight += len(b[0])
-            if weight > 300_000:
+            if weight > TOGETHER:
                 yield _sketched(held, batch.schema.field(0).type)
                 held, weight = [], 0
         if held:
@@ -207,6 +213,51 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _agree(bits: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether signatures, by 8 bits a register, agree in FLOOR of the registers, but for chance."""
+    return ((bits == others).mean(-1) - 1 / 256) / (1 - 1 / 256) >= FLOOR
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, bits) of small buckets, sorted by bucket; (bucket, node, least) of the groups in them that agree, each under a
+    key of its own."""
+    held: pa.RecordBatch | None = None
+
+    def groups(b: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        bits = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(b), REGISTERS)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sizes = np.diff(starts, append=len(b))
+        pairs = starts[sizes == 2]
+        pairs = pairs[_agree(bits[pairs], bits[pairs + 1])]
+        rows, keys, least = [pairs, pairs + 1], [bucket[pairs], bucket[pairs]], [np.minimum(node[pairs], node[pairs + 1])] * 2
+        for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+            own, classes = bits[at : at + n], _Classes(n)
+            near = _agree(own[:, None], own[None])
+            for x, y in zip(*np.nonzero(np.triu(near, 1))):
+                classes.join(x, y)
+            for label in np.unique(classes.of):
+                members = at + np.flatnonzero(classes.of == label)
+                if len(members) > 1:
+                    rows.append(members)
+                    keys.append(np.full(len(members), mix(bucket[at : at + 1].view(_U) + _U(label) * _GOLDEN).view(np.int64)[0] if label else bucket[at]))
+                    least.append(np.full(len(members), node[members].min()))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(node[np.concatenate(rows)], pa.int64()), pa.array(np.concatenate(least), pa.int64())], names=["bucket", "node", "least"])
+
+    for b in batches:
+        if not len(b):
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        bucket = b.column(0).to_numpy()
+        last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+        held = b.slice(last)
+        if last:
+            yield groups(b.slice(0, last))
+    if held is not None:
+        yield groups(held)
+
+
 class _Classes:
     """Union-find over the rows of a task."""
 
@@ -230,8 +281,7 @@ def links_between(bags: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, l
     mine = np.zeros(len(ids), np.int64)
     for n, x in enumerate(left):
         others = right[n + 1 :] if same else right
-        agree = (bits[others] == bits[x]).mean(1)
-        others = others[((agree - 1 / 256) / (1 - 1 / 256) >= FLOOR) & (classes.of[others] != classes.of[x])]
+        others = others[_agree(bits[others], bits[x]) & (classes.of[others] != classes.of[x])]
         if not len(others):
             continue
         own = slice(at[x], at[x + 1])
@@ -294,7 +344,7 @@ def texts_of(need: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
 
     rows = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text"), *[p.alias(f"p{k}") for k, p in enumerate(_places(id_col))])
     kind = rows.schema["d_id"].dataType.simpleString()
-    passed = rows.mapInArrow(passing, f"d_id {kind}, text string")
+    passed = rows.mapInArrow(frugal(passing), f"d_id {kind}, text string")
     n = need.withColumnRenamed("id", "n_id")
     return passed.join(n, F.col("d_id").eqNullSafe(F.col("n_id"))).drop("d_id", "n_id")
 
@@ -342,11 +392,15 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> t
     id_col, text_col = quoted(id_col), quoted(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"), text_hash(text_col).alias("raw"))
     kind = keyed.schema["id"].dataType.simpleString()
-    sketched = materialize(keyed.mapInArrow(_sketch, f"id {kind}, node bigint, bands array<bigint>, bits binary, weight bigint, raw bigint"), "near-sketch")
+    sketched = materialize(keyed.mapInArrow(frugal(_sketch), f"id {kind}, node bigint, bands array<bigint>, bits binary, weight bigint, raw bigint"), "near-sketch")
     nodes = materialize(sketched.groupBy("node", "bands", "bits", "weight").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    least = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    crowded = materialize(banded.join(least, "bucket"), "near-crowded")
+    counted = banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(banded.join(counted, "bucket"), "near-shared-bands")
+    some = shared.where(F.col("members") <= SMALL).select("bucket", F.col("node").alias("s_node"))
+    some = some.join(nodes.select("node", "bits"), F.col("s_node") == F.col("node")).select("bucket", "node", "bits")
+    small = some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_agreeing), "bucket bigint, node bigint, least bigint")
+    crowded = materialize(shared.where(F.col("members") > SMALL).select("bucket", "node", "least").unionByName(small), "near-crowded")
     group = bucket_components(crowded).withColumnsRenamed({"label": "component", "node": "c_node"})
     members = materialize(nodes.join(group, F.col("node") == F.col("c_node")).select("component", "node", "id", "bits", "weight"), "near-members")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("weight") / BLOCK_WEIGHT)).alias("blocks"))
@@ -354,7 +408,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> t
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "bits", "text")
     rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    first = components(materialize(rows.mapInArrow(_linked(similarity), "a bigint, b bigint"), "near-links"))
+    first = components(materialize(rows.mapInArrow(frugal(_linked(similarity)), "a bigint, b bigint"), "near-links"))
     label = nodes.join(first, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
     named = label.groupBy("label").agg(
         F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.coalesce(F.min_by("node", "id"), F.min("node")).alias("class_node")

@@ -370,6 +370,28 @@ def test_blocks_find_what_all_pairs_find(monkeypatch, spark):
     assert len({(got[i], roots[i]) for i in got}) == len(set(got.values())) == len(set(roots))
 
 
+def test_chance_bands_tie_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(200)]
+    texts = []
+    for i in range(120):  # similarities about 0.4 to the base, and so often a band in common
+        copy = list(base)
+        for k in rng.sample(range(200), 22):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = []
+    monkeypatch.setattr(near_dedup, "bucket_components", lambda crowded, f=near_dedup.bucket_components: (seen.append(crowded.count()), f(crowded))[1])
+    pairs = {}
+    for small in (64, 0):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(made).collect()}
+        pairs[small] = sorted(got.items())
+    roots = _classes(texts)
+    assert pairs[64] == pairs[0] and len({c for _, c in pairs[64]}) == len(set(roots)) and seen[0] < 0.5 * seen[1]
+
+
 # 9
 def test_quality(spark, sf, docs, odd, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
