@@ -1,4 +1,5 @@
-"""Lines to tokens. Lines without JSON take built-in functions only; the others an Arrow function."""
+"""Lines to tokens: as Columns, where lines with JSON go through an Arrow function (others reach it as nulls), and as Python functions for
+the engine."""
 
 from __future__ import annotations
 
@@ -184,7 +185,7 @@ def _json_tokens(lines: pd.Series) -> pd.Series:
 
 
 def tokens(line: Column, mode: str = "auto") -> Column:
-    """The tokens of a line. Only lines that may hold JSON reach Python."""
+    """The tokens of a line. The text of lines that may hold JSON goes to Python; of others a null."""
     if mode == "false":
         return plain_tokens(line)
     ask = wants_json(line, mode)
