@@ -104,26 +104,24 @@ class _Sieve:
         self.by_digits = [r for r in found if not r.strings and r.needs.digits]
         self.rest = [r for r in found if not r.strings and not r.needs.digits]
 
-    def places(self, texts: list[str], least: int) -> Iterator[tuple[Rule, list[int]]]:
-        """(rule, places of texts that have what it needs); a rule comes once, places rise. Texts are of the least length."""
+    def places(self, texts: list[str]) -> Iterator[tuple[Rule, list[int]]]:
+        """(rule, places of texts that have what it needs); a rule comes once, places rise."""
         if not texts or not self.all:
             return
         blob = "\n".join(texts)
         if blob.count("\n") >= len(texts):
             blob = "\n".join(t.replace("\n", "\0") for t in texts)
         yield from self._by_strings(blob)
-        sizes = digits = None
-        if self.by_digits:
-            digits = self._digit_counts(blob)
-            order = np.argsort(-digits, kind="stable")
-            sorted_ = -digits[order]
-            for r in self.by_digits:
-                n = int(np.searchsorted(sorted_, -r.needs.digits, "right"))
-                yield r, self._with_chars(r, texts, [i for i in order[:n].tolist() if len(texts[i]) >= r.needs.width])
-        for r in self.rest:
-            if sizes is None:
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            yield r, self._with_chars(r, texts, np.flatnonzero(sizes >= r.needs.width).tolist())
+        if not self.by_digits and not self.rest:
+            return
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        digits = self._digit_counts(blob) if self.by_digits else sizes
+        for r in (*self.by_digits, *self.rest):
+            fit = sizes >= r.needs.width
+            if r.needs.digits:
+                fit &= digits >= r.needs.digits
+            places = np.flatnonzero(fit).tolist()
+            yield r, places if len(places) > MANY else self._with_chars(r, texts, places)
 
     @staticmethod
     def _with_chars(r: Rule, texts: list[str], some: list[int]) -> list[int]:
@@ -170,8 +168,8 @@ def _matching(column: pa.Array, plain: str) -> list[int]:
 class Rules:
     """Expressions that are tried on many texts."""
 
-    def __init__(self, found: list[Rule], least: int, timeout_ms: int, strikes: int):
-        self.all, self.least, self.timeout, self.most = found, least, timeout_ms / 1000, strikes
+    def __init__(self, found: list[Rule], timeout_ms: int, strikes: int):
+        self.all, self.timeout, self.most = found, timeout_ms / 1000, strikes
         plain = [r for r in found if r.needs.plain is not None]
         #: One automaton for all rules that have a plain form; the others are tried on texts that it turns down too.
         self.any = "|".join(f"(?:{r.needs.plain})" for r in plain) if plain else None
@@ -184,12 +182,12 @@ class Rules:
             column = pa.array(texts, pa.string())
             some = _matching(column, self.any)
             kept, column = [texts[i] for i in some], column.take(pa.array(some, pa.int32()))
-            for r, places in self.sieved.places(kept, self.least):
+            for r, places in self.sieved.places(kept):
                 if len(places) > MANY:
                     places = [places[i] for i in _matching(column.take(pa.array(places, pa.int32())), r.needs.plain)]
                 for i in places:
                     yield r, kept[i], some[i]
-        for r, places in self.others.places(texts, self.least):
+        for r, places in self.others.places(texts):
             for i in places:
                 yield r, texts[i], i
 
@@ -215,8 +213,8 @@ class Rules:
 class Engine:
     def __init__(self, spec: Spec):
         self.spec = spec
-        make = lambda found, least: Rules([Rule(*r) for r in found], least, spec.timeout_ms, spec.strikes)
-        self.lines, self.tokens, self.fields = make(spec.lines, 1), make(spec.tokens, rules.MIN_REGEXP), make(spec.fields, rules.MIN_FIELD)
+        make = lambda found: Rules([Rule(*r) for r in found], spec.timeout_ms, spec.strikes)
+        self.lines, self.tokens, self.fields = map(make, (spec.lines, spec.tokens, spec.fields))
         self.words, self.phrases = dict(spec.words), spec.phrases
         self.longest_stop = max(map(len, spec.stop_values), default=0)
         self.seen: set[str] = set()  # tokens that were tried
@@ -247,7 +245,8 @@ class Engine:
         if self.words:
             low = normal("\n".join(new)).split("\n")
             low = low if len(low) == len(new) else [normal(t) for t in new]  # a token from JSON may hold line ends
-            words = {t: w for t, n in zip(new, low) if (w := self.words.get(n))}
+            if not self.words.keys().isdisjoint(low):
+                words = {t: w for t, n in zip(new, low) if (w := self.words.get(n))}
         return {t: (hits.get(t, ()), keys.get(t, ()), words.get(t, ())) for t in {*hits, *keys, *words}}
 
     def _tokens_of(self, line: str) -> list[str]:
@@ -325,9 +324,8 @@ class Engine:
             if len(self.seen) > KNOWN:
                 self.seen.clear()
                 self.known.clear()
-            short = {t for t in new if len(t) <= SHORT}
-            self.seen |= short
-            self.known.update((t, c) for t, c in told.items() if t in short)
+            self.seen |= new if max(map(len, new)) <= SHORT else {t for t in new if len(t) <= SHORT}
+            self.known.update((t, c) for t, c in told.items() if len(t) <= SHORT)
         if not hot:
             return
         separators = rules.FIELD_SEPARATORS

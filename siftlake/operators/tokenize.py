@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
@@ -138,11 +139,11 @@ def _urls(text: str) -> list[str]:
     return [v for r in raw if r for v in dict.fromkeys((unquote(r), r)) if v]
 
 
-def line_tokens(line: str) -> list[str]:
-    """`plain_tokens` of a line without JSON."""
+def line_tokens(line: str, before: Sequence[str] = ()) -> list[str]:
+    """`plain_tokens` of a line without JSON; values of URLs that are among the tokens before are left out too."""
     out = _TOKEN.findall(line)
     if "?" in line or "&" in line or "://" in line:
-        known = set(out)
+        known = {*out, *before}
         out += [v for v in dict.fromkeys(_urls(line)) if v not in known]
     return out
 
@@ -163,6 +164,9 @@ def json_tokens(line: str) -> list[str]:
     texts, pairs = (whole.strings, list(whole.pairs)) if whole else ([line], [])
     out: list[str] = []
     for text in texts:
+        if "{" not in text:
+            out += line_tokens(text, out)
+            continue
         at = 0
         for start, end in fragments(text):
             part = _parsed(text[start:end])
